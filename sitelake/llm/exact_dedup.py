@@ -10,16 +10,15 @@ full content, so that a digest alone never merges two texts:
 3. globally: at most ``salts`` winners of each content meet.
 
 A hot group of any size therefore sends one row per task to step 2 and ``salts``
-rows to step 3. Winners go back to all documents by digest; that join sees only
-ids and digests, and adaptive execution splits a hot digest there.
+rows to step 3. Winners go back to all documents by digest and a second hash of the
+content; that join sees only ids and hashes, both sides are shuffled right below it, and so
+adaptive execution splits a hot digest there.
 
 Defined results: a null text is the empty text, and all such rows are one group.
 ``keep_id`` is the largest id of a group; null ids never win over an id. Rows that
 repeat an id and its text are one document: each is reported, with the same
 verdict, and ``group_size`` counts rows. An empty table gives an empty result.
-Only the two named columns are read, so others may have any name. Should two
-different contents ever share a SHA-256 digest, the query fails with a message
-instead of merging them.
+Only the two named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -54,12 +53,12 @@ def contents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("two different texts share a digest")).cast("long"))
-    winners = contents(docs, id_col, text_col, salts, digest).groupBy("digest").agg(F.coalesce(one, F.max("keep_id")).alias("keep_id"), F.max("group_size").alias("group_size"))
+    check = F.xxhash64("content")  # beside the digest, so that even texts that share a digest find their own winner
+    winners = contents(docs, id_col, text_col, salts, digest).select("digest", check.alias("check"), "keep_id", "group_size")
     return (
         _base(docs, id_col, text_col, digest)
-        .select("doc_id", "digest")
-        .join(winners, "digest")
+        .select("doc_id", "digest", check.alias("check"))
+        .join(winners, ["digest", "check"])
         .select(
             "doc_id",
             "keep_id",
