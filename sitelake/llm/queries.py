@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelake.llm import chat, exact_dedup, url_filter
+from sitelake.llm import chat, exact_dedup, langid, packing, token_count, url_filter
+from sitelake.runtime import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(id_col: str, m: int) -> Column:
+    """crc32 of the id as text, mod m; null for a null id."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % m
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train_model(docs, train=F.coalesce(remainder("doc_id", 4) != 2, F.lit(False)))
+    made = langid.predict_language(docs.select("doc_id", "text"), model)
+    return made.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -23,6 +41,12 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache is a new one each time, so that a run counts every different text."""
+    counts = token_count.count_tokens(table(spark, sf_dir, "documents"), shared_path(spark, "token_cache"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
@@ -85,5 +109,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM near GROUP BY conv_id
 """
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op9_url_filter": op9_url_filter, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_language_id": op2_language_id, "op4_token_counts": op4_token_counts, "op3_exact_dedup": op3_exact_dedup, "op9_url_filter": op9_url_filter, "op10_chat_format": op10_chat_format}
 ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op9_url_filter": op9_sql(), "op10_chat_format": OP10_SQL}
