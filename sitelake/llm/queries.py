@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelake.llm import chat, exact_dedup, langid, packing, token_count, url_filter
+from sitelake.llm import chat, exact_dedup, langid, mih, packing, token_count, url_filter
 from sitelake.runtime import shared_path
 
 
@@ -47,6 +47,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
@@ -109,5 +113,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM near GROUP BY conv_id
 """
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_language_id": op2_language_id, "op4_token_counts": op4_token_counts, "op3_exact_dedup": op3_exact_dedup, "op9_url_filter": op9_url_filter, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_language_id": op2_language_id, "op4_token_counts": op4_token_counts, "op8_nearest": op8_nearest, "op3_exact_dedup": op3_exact_dedup, "op9_url_filter": op9_url_filter, "op10_chat_format": op10_chat_format}
 ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op9_url_filter": op9_sql(), "op10_chat_format": OP10_SQL}
