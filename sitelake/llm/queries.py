@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelake.llm import chat, exact_dedup, langid, maxent_lm, mih, packing, token_count, url_filter
+from sitelake.llm import chat, exact_dedup, langid, maxent_lm, mih, packing, probminhash, token_count, url_filter
 from sitelake.runtime import shared_path
 
 
@@ -53,6 +53,10 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mih.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
@@ -119,5 +123,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM near GROUP BY conv_id
 """
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_language_id": op2_language_id, "op4_token_counts": op4_token_counts, "op6_lm_scores": op6_lm_scores, "op8_nearest": op8_nearest, "op3_exact_dedup": op3_exact_dedup, "op9_url_filter": op9_url_filter, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_language_id": op2_language_id, "op4_token_counts": op4_token_counts, "op6_lm_scores": op6_lm_scores, "op7_near_dedup": op7_near_dedup, "op8_nearest": op8_nearest, "op3_exact_dedup": op3_exact_dedup, "op9_url_filter": op9_url_filter, "op10_chat_format": op10_chat_format}
 ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op9_url_filter": op9_sql(), "op10_chat_format": OP10_SQL}
