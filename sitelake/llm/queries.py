@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelake.llm import chat, exact_dedup, langid, maxent_lm, mih, packing, probminhash, token_count, url_filter
+from sitelake.llm import chat, exact_dedup, langid, maxent_lm, mih, packing, probminhash, sentencepiece_sa, token_count, url_filter
 from sitelake.runtime import shared_path
 
 
@@ -47,6 +47,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepiece_sa.encode_documents(table(spark, sf_dir, "documents"))
+    both = sentencepiece_sa.decode_documents(encoded)
+    return both.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.col("content")).alias("same_text"),
+    )
+
+
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = maxent_lm.score_documents(table(spark, sf_dir, "documents"), training=remainder("doc_id", 10) != 0)
     held_out = F.coalesce(remainder("doc_id", 10) == 0, F.lit(False)).alias("held_out")
@@ -123,5 +135,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM near GROUP BY conv_id
 """
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_language_id": op2_language_id, "op4_token_counts": op4_token_counts, "op6_lm_scores": op6_lm_scores, "op7_near_dedup": op7_near_dedup, "op8_nearest": op8_nearest, "op3_exact_dedup": op3_exact_dedup, "op9_url_filter": op9_url_filter, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_language_id": op2_language_id, "op4_token_counts": op4_token_counts, "op5_sentencepiece": op5_sentencepiece, "op6_lm_scores": op6_lm_scores, "op7_near_dedup": op7_near_dedup, "op8_nearest": op8_nearest, "op3_exact_dedup": op3_exact_dedup, "op9_url_filter": op9_url_filter, "op10_chat_format": op10_chat_format}
 ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op9_url_filter": op9_sql(), "op10_chat_format": OP10_SQL}
