@@ -55,9 +55,9 @@ def counter(path: str):
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
         new = list({c for cs in chunks for c in cs if c not in known})
         if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            known[""] = 0
-            new = list({c for cs in chunks for c in cs} - {""})
+            for c in list(known)[REMEMBERED // 2 :]:  # the common chunks came first
+                del known[c]
+            new = list({c for cs in chunks for c in cs if c not in known})
         for k in range(0, len(new), 8192):
             part = new[k : k + 8192]
             known.update(zip(part, map(len, tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
@@ -107,5 +107,6 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str | None = None,
     counted = texts.select("digest", "content").mapInArrow(encode, "digest binary, n_tokens long")
     counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
 
-    counts = read_cache(spark, cache_path, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # a digest has one count; distinct over both columns leaves the shuffle by digest to the join, where a hot digest is split
+    counts = read_cache(spark, cache_path, version).distinct()
     return base.select("doc_id", "n_bytes", "digest").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
