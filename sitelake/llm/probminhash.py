@@ -16,7 +16,9 @@ No bucket is expanded into pairs as it is. Identical texts are one representativ
 Every bucket then links its members to its least one; links that verify give
 components, and all members of a component are done with each other. Only where a
 bucket still holds several components, members of different ones are compared, so that a
-link between two texts of which just one is like the bucket's least is not lost.
+link between two texts of which just one is like the bucket's least is not lost: chunks of
+the bucket meet two by two in a task, which bounds J_P for all pairs in numpy, computes it for those
+that the bound leaves, and returns links, never pairs.
 
 Words are runs of ASCII letters and digits and of anything outside ASCII, lower-cased.
 
@@ -32,14 +34,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelake.llm.components import components
 from sitelake.runtime import materialize, ship
 
-WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 26, 6
-_BATCH = 1 << 20
+WORDS, THRESHOLD, BANDS, ROWS, CHUNK = 5, 0.8, 26, 6, 256
+_BATCH = 1 << 19
 _HASH = np.uint64((1 << 48) - 1)
 _WORD = np.array([chr(i).isalnum() or i >= 128 for i in range(256)])
 _BASE = 0x9E3779B97F4A7C15
@@ -55,7 +57,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers["up"]) < n:
-        size = max(n, 4 * _BATCH)
+        size = max(n, 2 * _BATCH)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -207,6 +209,85 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -
     return both.mapInArrow(verify, "a long, b long, similarity double").filter(F.col("similarity") >= threshold - 1e-12)
 
 
+def _beside(key: str) -> Column:
+    """A second grouping key that the first one determines: the groups are the same, but a join on the first one
+    alone then shuffles both sides right below it, where adaptive execution can split a hot key."""
+    return F.pmod(F.col(key), F.lit(7)).alias("beside")
+
+
+def cross_links(root: np.ndarray, of: np.ndarray, h: np.ndarray, w: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """(i, j, similarity) of all similar pairs of texts of different roots.
+
+    J_P is at most the sum over shared shingles of the smaller of the two normalised weights: the chance
+    that two draws can be made to agree at all. That sum is taken for all pairs at once along runs of equal
+    shingles; only pairs that it leaves are computed exactly.
+    """
+    n = len(root)
+    begin = np.searchsorted(of, np.arange(n + 1))
+    share = w / np.maximum(np.bincount(of, weights=w, minlength=n), 1e-300)[of]
+    order = np.argsort(h, kind="stable")
+    hs, of_s, share_s = h[order], of[order], share[order]
+    first = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]])) if len(hs) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(hs)))
+    first, size = first[size > 1], size[size > 1]
+    bound = np.zeros(n * n)
+    edges = np.searchsorted(np.cumsum(size * size), np.arange(0, int((size * size).sum()) + _BATCH, _BATCH), "left")
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        f, c = first[a:b], size[a:b]
+        if not len(f):
+            continue
+        pairs = c * c
+        at = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        wide = np.repeat(c, pairs)
+        x, y = np.repeat(f, pairs) + at // wide, np.repeat(f, pairs) + at % wide
+        keep = (of_s[x] < of_s[y]) & (root[of_s[x]] != root[of_s[y]])
+        x, y = x[keep], y[keep]
+        bound += np.bincount(of_s[x] * n + of_s[y], weights=np.minimum(share_s[x], share_s[y]), minlength=n * n)
+    out = []
+    own = lambda i: slice(begin[i], begin[i + 1])
+    for at in np.flatnonzero(bound >= threshold - 1e-9):
+        i, j = divmod(int(at), n)
+        s = probability_jaccard(h[own(i)], w[own(i)], h[own(j)], w[own(j)])
+        if s >= threshold - 1e-12:
+            out.append((i, j, s))
+    return out
+
+
+def linked_across(open_: DataFrame, texts: DataFrame, threshold: float, words: int, chunk: int = CHUNK) -> DataFrame:
+    """a, b, similarity of similar members of a bucket with different roots. open_: key, rep, root, n (members of the bucket).
+
+    A bucket is divided into chunks of about `chunk` members, and two chunks at a time meet in a task, which returns
+    links alone: pairs are never rows, and a task holds two chunks at most.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(ids: list[int], roots: list[int], texts: list[str]) -> pa.RecordBatch:
+            of, h, times = shingles(texts, words)
+            found = cross_links(np.array(roots), of, h, weight(times), threshold)
+            a, b = [min(ids[i], ids[j]) for i, j, _ in found], [max(ids[i], ids[j]) for i, j, _ in found]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([x for *_, x in found], pa.float64())], ["a", "b", "similarity"])
+
+        now, held = None, ([], [], [])
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            for k, key in enumerate(keys):
+                if key != now:
+                    if len(set(held[1])) > 1:
+                        yield links(*held)
+                    now, held = key, ([], [], [])
+                for values, column in zip(held, (3, 4, 5), strict=True):
+                    values.append(batch.column(column)[k].as_py())
+        if len(set(held[1])) > 1:
+            yield links(*held)
+
+    parts = F.ceil(F.col("n") / chunk).cast("int")
+    chunks = open_.withColumn("own", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    placed = chunks.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rep", "root")
+    rows = placed.join(texts, placed["rep"] == texts["doc_id"]).select("key", "lo", "hi", "rep", "root", "content")
+    met = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(compare, "a long, b long, similarity double")
+    return met.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, class_size, links (verified links of the row's text to different texts)."""
     spark = docs.sparkSession
@@ -217,7 +298,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, words:
     ones = materialize(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")), "near_ones")
     members = ones.select("rep", F.explode("keys").alias("key"))
     # a bucket's least member; grouped by more than the join needs, so that the join shuffles both sides right below it
-    hubs = members.groupBy("key", F.lit(0).alias("all")).agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub")
+    hubs = members.groupBy("key", _beside("key")).agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub")
     buckets = materialize(members.join(hubs, "key"), "near_buckets")
     wanted = buckets.select("rep").distinct()
     texts = materialize(base.join(wanted, base["doc_id"] == wanted["rep"], "left_semi").select("doc_id", "content").dropDuplicates(["doc_id"]), "near_texts")
@@ -225,21 +306,18 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, words:
     links = materialize(verified(first, texts, threshold, words), "near_links")
     found = components(links)
     # buckets of several components: members of different ones
-    labelled = buckets.join(found, buckets["rep"] == found["node"], "left").select("key", "rep", "hub", F.coalesce("root", "rep").alias("root"))
+    labelled = buckets.join(found, buckets["rep"] == found["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     labelled = materialize(labelled, "near_labelled")
-    still = labelled.groupBy("key", F.lit(0).alias("all")).agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    open_ = materialize(labelled.join(still, "key", "left_semi"), "near_open")
-    x = open_.select("key", F.col("rep").alias("a"), F.col("root").alias("root_a"), F.col("hub").alias("hub"))
-    y = open_.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"))
-    crossed = x.join(y, "key").filter("a < b and root_a <> root_b and a <> hub").select("a", "b").distinct()
-    more = materialize(verified(crossed, texts, threshold, words), "near_more")
+    still = labelled.groupBy("key", _beside("key")).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).filter("r0 <> r1").select("key", "n")
+    open_ = materialize(labelled.join(still, "key").select("key", "rep", "root", "n"), "near_open")
+    more = materialize(linked_across(open_, texts, threshold, words), "near_more")
     links = links.unionByName(more)
     found = materialize(components(links), "near_components")
     degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     named = ones.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").join(degree, "rep", "left")
     named = materialize(named.select("digest", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")), "near_named")
     placed = materialize(signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "links"), "near_placed")
-    sizes = placed.groupBy("class_id", F.lit(0).alias("all")).agg(F.count(F.lit(1)).alias("class_size")).drop("all")
+    sizes = placed.groupBy("class_id", _beside("class_id")).agg(F.count(F.lit(1)).alias("class_size")).drop("beside")
     alone = base.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("links"))
     return placed.join(sizes, "class_id").select("doc_id", "class_id", "class_size", "links").union(alone)
 
