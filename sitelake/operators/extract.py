@@ -79,14 +79,18 @@ def page_links(hrefs: Column, url: Column) -> Column:
     return F.array_distinct(F.filter(resolved, lambda r: r.isNotNull() & ~U.should_skip_url(r)))
 
 
+def first_of_each(links: Column) -> Column:
+    """The first struct of each href. links: array<struct<href, text>>."""
+    return U.let(links, lambda xs: F.transform(F.array_distinct(F.transform(xs, lambda x: x["href"])), lambda h: F.element_at(F.filter(xs, lambda x: x["href"] == h), 1)))
+
+
 def links_with_meta(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The page columns but html, and pos, href, text, is_internal: a row per different link."""
     parsed = _parsed(pages, html_col, True)
     links = F.transform(F.col("__raw.hrefs"), lambda h: F.struct(U.resolve_url(h["href"], F.col(url_col)).alias("href"), h["text"].alias("text")))
     kept = F.filter(links, lambda x: x["href"].isNotNull() & ~U.should_skip_url(x["href"]))
-    first = F.filter(kept, lambda x, i: F.array_position(F.transform(kept, lambda y: y["href"]), x["href"]) == i + 1)
     others = [c for c in pages.columns if c != html_col]
-    rows = parsed.select(*others, F.posexplode(first).alias("pos", "link"))
+    rows = parsed.select(*others, F.posexplode(first_of_each(kept)).alias("pos", "link"))
     internal = U.url_parts(F.col("link.href"))["host"].eqNullSafe(U.url_parts(F.col(url_col))["host"])
     return rows.select(*others, F.col("pos").cast("long").alias("pos"), F.col("link.href").alias("href"), F.col("link.text").alias("text"), internal.alias("is_internal"))
 
