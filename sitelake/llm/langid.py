@@ -90,7 +90,7 @@ def build(counts: dict[str, dict[bytes, int]], order: int) -> Model:
         keys = np.frombuffer(b"".join(counts[lang]), np.uint8).reshape(-1, order + 1)
         grams[lang] = classes[keys].astype(np.int64), np.array(list(counts[lang].values()), np.float64)
     pack = lambda c: sum((c[:, i] * k ** (c.shape[1] - 1 - i) for i in range(c.shape[1])), np.zeros(len(c), np.int64))
-    contexts = {d: np.unique(np.concatenate([pack(g[:, order - d : order]) for g, _ in grams.values()])) for d in range(1, order + 1)}
+    contexts = {d: np.unique(np.concatenate([np.zeros(0, np.int64), *(pack(g[:, order - d : order]) for g, _ in grams.values())])) for d in range(1, order + 1)}
     contexts[0] = np.zeros(1, np.int64)
     first = np.cumsum([0] + [len(contexts[d]) for d in range(order + 1)])
     # packed context of full order -> its longest suffix that is a node

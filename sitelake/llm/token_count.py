@@ -105,6 +105,7 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str | None = None,
     misses = chosen.join(read_cache(spark, cache_path, version), "digest", "left_anti").withColumnRenamed("digest", "missing")
     texts = base.join(misses, (F.col("digest") == F.col("missing")) & F.col("doc_id").eqNullSafe(F.col("chosen")))
     counted = texts.select("digest", "content").mapInArrow(encode, "digest binary, n_tokens long")
+    counted = counted.distinct()  # a repeated row is chosen with its repetitions
     counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
 
     # a digest has one count; distinct over both columns leaves the shuffle by digest to the join, where a hot digest is split
