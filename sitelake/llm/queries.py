@@ -48,8 +48,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = sentencepiece_sa.encode_documents(table(spark, sf_dir, "documents"))
-    both = sentencepiece_sa.decode_documents(encoded)
+    both = sentencepiece_sa.encode_documents(table(spark, sf_dir, "documents"), decoded=True)
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),

@@ -39,7 +39,7 @@ from sitelake.runtime import ship
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-REMEMBERED, BATCH_BYTES = 800_000, 1 << 18
+REMEMBERED, REMEMBERED_PAIRS, BATCH_BYTES = 400_000, 500_000, 1 << 18
 _BREAK = b"\xf8"  # in no UTF-8 text
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 _loaded: dict[str, "Pieces"] = {}
@@ -87,7 +87,7 @@ class Pieces:
     def compatible(self, a: int, b: int) -> bool:
         key = a << 20 | b
         if (ok := self.fits.get(key)) is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > REMEMBERED_PAIRS:
                 self.fits.clear()
             ok = self.fits[key] = self.merge(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
         return ok
@@ -148,11 +148,15 @@ def encode_units(p: Pieces, units: list[str]) -> None:
         edges = zip(start.tolist(), end.tolist(), piece.tolist(), strict=True)
         if loose:
             edges = sorted([*edges, *((s, e, -2) for s, e in loose)], key=lambda x: (x[1], x[0]))
-        compatible = p.compatible
+        fits = p.fits
         for s, e, i in edges:
-            before = last[s]
-            if before != -1 and (before == -2 or i == -2 or compatible(before, i)):
-                last[e], back[e] = i, s
+            if last[e] == -1 and (before := last[s]) != -1:  # one edge into a position holds, so the others needn't be tried
+                if before == -2 or i == -2:
+                    ok = True
+                elif (ok := fits.get(before << 20 | i)) is None:
+                    ok = p.compatible(before, i)
+                if ok:
+                    last[e], back[e] = i, s
         for (u, d), b in zip(part, begin, strict=False):
             ids, k = [], b + len(d)
             while k > b:
@@ -212,20 +216,23 @@ def _path(model: str | None) -> str:
     return model
 
 
-def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, content, ids (little-endian unsigned 32 bit)."""
+def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, content, ids (little-endian unsigned 32 bit); with decoded, also what the ids decode to, in the same pass."""
     ship(docs.sparkSession)
     path = _path(model)
+    names = ["doc_id", "content", "ids", *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(encode_texts(p, part.column(1).to_pylist()), pa.binary())], ["doc_id", "content", "ids"])
+                ids = encode_texts(p, part.column(1).to_pylist())
+                back = [pa.array([decode_ids(p, x) for x in ids], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary()), *back], names)
 
     given = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("content"))
-    return given.mapInArrow(run, "doc_id long, content string, ids binary")
+    return given.mapInArrow(run, "doc_id long, content string, ids binary" + ", decoded string" * decoded)
 
 
 def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:

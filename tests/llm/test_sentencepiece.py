@@ -49,6 +49,8 @@ def test_any_ids_decode_alike(ids):
 def test_awkward_rows(library, awkward, no_rows):
     both = S.decode_documents(S.encode_documents(awkward))
     rows = both.collect()
+    in_one = S.encode_documents(awkward, decoded=True)
+    assert sorted(map(str, in_one.collect())) == sorted(map(str, both.collect()))
     want = sorted(((r.doc_id, r.text or "", library.encode(r.text or "")) for r in awkward.collect()), key=str)
     assert sorted(((r.doc_id, r.content, list(array("I", bytes(r.ids)))) for r in rows), key=str) == want
     assert all(r.decoded == r.content for r in rows)
