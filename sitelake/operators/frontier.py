@@ -89,9 +89,9 @@ def crawl(pages: DataFrame, seeds: DataFrame, options: CrawlOptions = CrawlOptio
         visited = level.select("norm") if visited is None else visited.unionByName(level.select("norm"))
         if n == 0:
             continue
-        got = keyed.join(level, "norm").filter((F.col("status_code") < 400)).select("url", "final_url", "depth", "engine", "seq", "html")
+        got = keyed.join(level, "norm").filter((F.col("status_code") < 400)).select("url", F.coalesce("final_url", "norm").alias("final_url"), "depth", "engine", "seq", "html")
         # links are resolved against where the fetch ended
-        made = extract.extract_pages(got.withColumn("final_url", F.coalesce("final_url", "url")), url_col="final_url").filter(F.col("word_count") >= options.low_content)
+        made = extract.extract_pages(got, url_col="final_url").filter(F.col("word_count") >= options.low_content)
         made = materialize(made, "crawl_pages")
         results = made if results is None else results.unionByName(made)
         if d < max_depth:

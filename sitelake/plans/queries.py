@@ -602,8 +602,8 @@ def file_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- display, rates, graphs ---------------------------------------------------------------------------------------
 @query("""
-SELECT o_orderkey, CASE WHEN b < 1024 THEN b::varchar || ' B' WHEN b < 1048576 THEN printf('%.1f', b / 1024.0) || ' KB' WHEN b < 1073741824 THEN printf('%.1f', b / 1048576.0) || ' MB' ELSE printf('%.2f', b / 1073741824.0) || ' GB' END AS bytes_text,
-  CASE WHEN b < 1000 THEN b::varchar || 'ms' WHEN b < 60000 THEN printf('%.1f', b / 1000.0) || 's' ELSE (b // 60000)::varchar || 'm ' || (b % 60000 // 1000)::varchar || 's' END AS duration_text,
+SELECT o_orderkey, CASE WHEN b < 1024 THEN b::varchar || ' B' WHEN b < 1048576 THEN printf('%.1f', floor(b / 1024.0 * 10 + 0.5) / 10) || ' KB' WHEN b < 1073741824 THEN printf('%.1f', floor(b / 1048576.0 * 10 + 0.5) / 10) || ' MB' ELSE printf('%.2f', floor(b / 1073741824.0 * 100 + 0.5) / 100) || ' GB' END AS bytes_text,
+  CASE WHEN b < 1000 THEN b::varchar || 'ms' WHEN b < 60000 THEN printf('%.1f', floor(b / 1000.0 * 10 + 0.5) / 10) || 's' ELSE (b // 60000)::varchar || 'm ' || (b % 60000 // 1000)::varchar || 's' END AS duration_text,
   repeat('━', floor(least(b / 2e8, 1.0) * 24 + 0.5)::int) || repeat('─', 24 - floor(least(b / 2e8, 1.0) * 24 + 0.5)::int) AS bar,
   (SELECT max(m) FROM unnest([10, 25, 50, 75, 100, 150, 200, 300, 500]) t(m) WHERE m <= o_orderkey)::bigint AS milestone
 FROM (SELECT o_orderkey, (o_orderkey * o_orderkey * 37)::bigint AS b FROM orders)
@@ -651,4 +651,4 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(F.col("html"), link(1), link(2))
     site = numbered.select(F.concat(F.lit("https://site.example/p"), page.cast("string")).alias("url"), F.lit("fetch").alias("engine"), F.lit(0).alias("priority"), F.lit(200).alias("status_code"), html.alias("html"), F.lit(None).cast("string").alias("final_url"))
     seeds = spark.range(1).select(F.lit("https://site.example/p0").alias("url"), F.col("id").alias("seq"))
-    return frontier.crawl(site, seeds, frontier.CrawlOptions(depth=3, max_pages=60)).select("seq", "url", "depth", "engine", "title", "word_count")
+    return frontier.crawl(site, seeds, frontier.CrawlOptions(depth=3, max_pages=300)).select("seq", "url", "depth", "engine", "title", "word_count")

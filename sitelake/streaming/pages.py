@@ -53,10 +53,10 @@ def rate_windows(events: DataFrame, every: str = "1 second", late: str = "10 sec
     return timed.groupBy(F.window("ts", every)).agg(F.count(F.lit(1)).alias("starts")).select("window.start", "window.end", "starts")
 
 
-def idle_sessions(events: DataFrame, gap: str = "15 seconds", late: str = "10 seconds") -> DataFrame:
-    """Runs of activity that an idle gap ends."""
+def idle_sessions(events: DataFrame, key: str = "user_id", gap: str = "15 seconds", late: str = "10 seconds") -> DataFrame:
+    """Runs of activity of each key that an idle gap ends."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return timed.groupBy(F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("events")).select("session_window.start", "session_window.end", "events")
+    return timed.groupBy(key, F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("events")).select(key, "session_window.start", "session_window.end", "events")
 
 
 def ingest_stream(stream: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
