@@ -276,14 +276,14 @@ def visited_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- fetches ----------------------------------------------------------------------------------------------------
 PHRASES = ["", "cloudflare", "Just a moment... cloudflare", "datadome geo.captcha-delivery.com", "_pxhd", "akamai ak_bmsc", "recaptcha", "Access Denied", "noscript enable javascript", "challenge", "ordinary"]
 STATUSES = ["200", "403", "429", "503", "200", "404", "200"]
-S_FETCHES = f"""(SELECT page_id, url, e AS priority, ['fetch', 'playwright', 'rebrowser'][e + 1] AS engine,
+S_FETCHES = f"""(SELECT page_id, url, e AS priority, ['fetch', 'browser', 'stealth'][e + 1] AS engine,
   {listed(STATUSES)}[(page_id + e) % {len(STATUSES)} + 1]::int AS status_code,
   CASE (page_id + e) % 4 WHEN 0 THEN html WHEN 1 THEN left(html, 600) WHEN 2 THEN left(html, 100) ELSE '' END || {listed(PHRASES)}[(page_id * 3 + e) % {len(PHRASES)} + 1] AS html
   FROM pages, range(3) r(e))"""
 
 
 def _fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select("page_id", "url", "html", F.posexplode(F.array(*map(F.lit, ["fetch", "playwright", "rebrowser"]))).alias("priority", "engine"))
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", "html", F.posexplode(F.array(*map(F.lit, ["fetch", "browser", "stealth"]))).alias("priority", "engine"))
     pick = lambda xs, at: F.get(F.array(*map(F.lit, xs)), (at % len(xs)).cast("int"))
     page, e = F.col("page_id"), F.col("priority")
     part = F.when((page + e) % 4 == 0, F.col("html")).when((page + e) % 4 == 1, F.left("html", F.lit(600))).when((page + e) % 4 == 2, F.left("html", F.lit(100))).otherwise(F.lit(""))

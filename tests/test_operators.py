@@ -70,11 +70,11 @@ def test_sitemaps(spark):
 
 
 def test_waterfall(spark):
-    rows = [("https://a.com/", "fetch", 0, 403, "x"), ("https://a.com/", "playwright", 1, 200, "fine"), ("https://linkedin.com/", "fetch", 0, 200, "fine"), ("https://b.com/", "fetch", 0, 200, "fine"), ("https://b.com/", "playwright", 1, 200, "fine")]
+    rows = [("https://a.com/", "fetch", 0, 403, "x"), ("https://a.com/", "browser", 1, 200, "fine"), ("https://linkedin.com/", "fetch", 0, 200, "fine"), ("https://b.com/", "fetch", 0, 200, "fine"), ("https://b.com/", "browser", 1, 200, "fine")]
     df = spark.createDataFrame([(*r, None) for r in rows], "url string, engine string, priority int, status_code int, html string, final_url string")
-    assert {(r.url, r.engine) for r in fetches.pick(df).collect()} == {("https://a.com/", "playwright"), ("https://b.com/", "fetch")}
-    assert {r.engine: r.n for r in fetches.engine_stats(df).collect()} == {"playwright": 1, "fetch": 1, "blocked": 1}
-    assert fetches.pick(df, force_engine="playwright").count() == 2
+    assert {(r.url, r.engine) for r in fetches.pick(df).collect()} == {("https://a.com/", "browser"), ("https://b.com/", "fetch")}
+    assert {r.engine: r.n for r in fetches.engine_stats(df).collect()} == {"browser": 1, "fetch": 1, "blocked": 1}
+    assert fetches.pick(df, force_engine="browser").count() == 2
 
 
 HTML = """<html><head><title>My Page | Site</title><meta name="author" content=" Ann "><meta property="article:published_time" content="2024-03-07"></head>
