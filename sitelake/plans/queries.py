@@ -504,18 +504,28 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.fingerprint(F.coalesce("text", F.lit(""))).alias("fingerprint"))
 
 
-@query(f"""
-WITH prints AS {S_PRINTS}, sets AS (SELECT doc_id, fp, list_distinct(list_filter(regexp_split_to_array(fp, '{WS}+'), lambda w: length(w) > 3)) AS ws FROM prints),
-pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, CASE WHEN x.fp = y.fp THEN 1.0 WHEN len(x.ws) = 0 OR len(y.ws) = 0 THEN 0.0
+S_PAIRS = f"""
+prints AS {S_PRINTS}, sets AS (SELECT doc_id, fp, list_distinct(list_filter(regexp_split_to_array(fp, '{WS}+'), lambda w: length(w) > 3)) AS ws FROM prints),
+pairs AS (SELECT a, b, s FROM (SELECT x.doc_id AS a, y.doc_id AS b, CASE WHEN x.fp = y.fp THEN 1.0 WHEN len(x.ws) = 0 OR len(y.ws) = 0 THEN 0.0
   ELSE len(list_intersect(x.ws, y.ws))::double / (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws))) END AS s
-  FROM sets x JOIN sets y ON x.doc_id < y.doc_id AND (x.fp = y.fp OR least(len(x.ws), len(y.ws)) >= 0.85 * greatest(len(x.ws), len(y.ws))))
-SELECT a, b, round(s, 6)::double AS similarity FROM pairs WHERE s >= 0.85
-""")
+  FROM sets x JOIN sets y ON x.doc_id < y.doc_id AND (x.fp = y.fp OR least(len(x.ws), len(y.ws)) >= 0.85 * greatest(len(x.ws), len(y.ws)))) WHERE s >= 0.85)
+"""
+
+
+@query(f"WITH {S_PAIRS} SELECT a, b, round(s, 6)::double AS similarity FROM pairs")
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.similar_pairs(table(spark, sf_dir, "documents")).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {S_PAIRS},
+before AS (SELECT d.doc_id AS id, row_number() OVER (ORDER BY d.doc_id) AS i, coalesce(list(p.a) FILTER (p.a IS NOT NULL), []) AS near FROM documents d LEFT JOIN pairs p ON p.b = d.doc_id GROUP BY d.doc_id),
+walk AS (SELECT 0::bigint AS i, []::bigint[] AS kept UNION ALL SELECT w.i + 1, CASE WHEN list_has_any(w.kept, n.near) THEN w.kept ELSE list_append(w.kept, n.id) END FROM walk w JOIN before n ON n.i = w.i + 1),
+done AS (SELECT kept FROM walk ORDER BY i DESC LIMIT 1),
+led AS (SELECT id, list_contains(kept, id) AS keep, list_min(list_intersect(near, kept)) AS first FROM before, done)
+SELECT id, keep, CASE WHEN keep THEN id ELSE first END AS leader, CASE WHEN NOT keep THEN 'similar:' || floor(p.s * 100 + 0.5)::int || '%' END AS reason
+FROM led LEFT JOIN pairs p ON p.a = led.first AND p.b = led.id AND NOT led.keep
+""")
 def similar_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.similar_leaders(table(spark, sf_dir, "documents"))
 
