@@ -47,7 +47,7 @@ CLASSES, MEMBERS, SHARED = 8, 16, 32
 BUCKETS = CLASSES * MEMBERS
 OWN = BUCKETS - SHARED
 CLASS_ROWS, MEMBER_ROWS = 1 << 14, 1 << 15
-FREQUENT, FLUSH, REMEMBERED = 1 << 17, 300_000, 400_000
+FREQUENT, FLUSH, REMEMBERED = 1 << 17, 200_000, 150_000
 STEPS, RATE, PENALTY = 16, 0.4, 1.0
 ADD = 0.1
 END = b""  # the end of a text; no word is empty
