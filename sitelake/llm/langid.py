@@ -190,7 +190,8 @@ def predict_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts, letters = batch.column(0), batch.column(1).to_pylist()
+            rest, letters = batch.column(0), batch.column(1).to_pylist()
+            texts = rest.field(text_at)
             langs, scores, at = [], [], 0
             while at < len(letters):
                 group, size = [], 0
@@ -205,13 +206,13 @@ def predict_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text
                     ok = has and model.langs
                     langs.append(model.langs[best[i]] if ok else UNDETERMINED)
                     scores.append(float(share[i]) if ok else 0.0)
-            rest = batch.column(2)
             yield pa.RecordBatch.from_arrays([rest, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "lang_score"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    text_at = kept.index(text_col)
     row = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(kept)]).alias("row")
     has_letter = F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
-    given = docs.select(docs[text_col].alias("content"), has_letter, row)
+    given = docs.select(row, has_letter)
     kind = given.schema["row"].dataType.simpleString()
     made = given.mapInArrow(score, f"row {kind}, lang_pred string, lang_score double")
     return made.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)], "lang_pred", "lang_score")
