@@ -11,6 +11,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.abspath(__file__))
+_ARROW_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 _written: dict[str, list[str]] = {}
 
@@ -30,8 +31,18 @@ def session(app: str = "sitelake", master: str = "local[8]", partitions: int = 8
     )
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker. Both sides hold a batch or two, and workers that
+#: wait for their next task keep what they once took, so Spark's 64 MB weigh on every later stage.
+ARROW_BYTES, _DEFAULT_ARROW_BYTES = 8 << 20, 64 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that their Python workers can import it."""
+    """Send this package to the executors once per application, so that their Python workers can import it.
+
+    Arrow batches are bounded by ARROW_BYTES, unless the session has a bound of its own.
+    """
+    if spark.conf.get(_ARROW_CONF) == f"{_DEFAULT_ARROW_BYTES}b":
+        spark.conf.set(_ARROW_CONF, str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
