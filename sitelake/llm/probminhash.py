@@ -17,7 +17,7 @@ Every bucket then links its members to its least one; links that verify give
 components, and all members of a component are done with each other. Only where a
 bucket still holds several components, members of different ones are compared, so that a
 link between two texts of which just one is like the bucket's least is not lost: chunks of
-the bucket meet two by two in a task, which bounds J_P for all pairs in numpy, computes it for those
+the bucket meet two by two in a task, which bounds J_P for all pairs in matrix products, computes it for those
 that the bound leaves, and returns links, never pairs.
 
 Words are runs of ASCII letters and digits and of anything outside ASCII, lower-cased.
@@ -215,42 +215,77 @@ def _beside(key: str) -> Column:
     return F.pmod(F.col(key), F.lit(7)).alias("beside")
 
 
-def cross_links(root: np.ndarray, of: np.ndarray, h: np.ndarray, w: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-    """(i, j, similarity) of all similar pairs of texts of different roots.
+def _pair_sums(of: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Over the shingles that texts i and j share: (n, n) sums of i's weights; of those weights that are the same in both.
 
-    J_P is at most the sum over shared shingles of the smaller of the two normalised weights: the chance
-    that two draws can be made to agree at all. That sum is taken for all pairs at once along runs of equal
-    shingles; only pairs that it leaves are computed exactly.
+    Shingles that many texts hold go through matrix products, the others along runs of equal shingles.
     """
-    n = len(root)
-    begin = np.searchsorted(of, np.arange(n + 1))
-    share = w / np.maximum(np.bincount(of, weights=w, minlength=n), 1e-300)[of]
-    order = np.argsort(h, kind="stable")
-    hs, of_s, share_s = h[order], of[order], share[order]
+    own, same = np.zeros((n, n)), np.zeros((n, n))
+    order = np.lexsort((w, h))
+    hs, of_s, w_s = h[order], of[order], w[order]
     first = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]])) if len(hs) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(hs)))
-    first, size = first[size > 1], size[size > 1]
-    bound = np.zeros(n * n)
-    edges = np.searchsorted(np.cumsum(size * size), np.arange(0, int((size * size).sum()) + _BATCH, _BATCH), "left")
+    wide = (size > 1) & (size * 16 > n)
+    at = np.flatnonzero(np.repeat(wide, size))
+    if len(at):
+        column = np.cumsum(np.concatenate([[0], np.diff(hs[at]) != 0]))
+        step = max(1, _BATCH // n)
+        for c in range(0, int(column[-1]) + 1, step):
+            part = slice(*np.searchsorted(column, [c, c + step]))
+            t, col, x = of_s[at[part]], column[part] - c, w_s[at[part]]
+            held, weights = np.zeros((n, step)), np.zeros((n, step))
+            held[t, col], weights[t, col] = 1, x
+            own += weights @ held.T
+            for v in np.unique(x):  # few different numbers of times
+                equal = np.where(weights == v, 1.0, 0.0)
+                equal = equal[:, equal.any(0)]
+                same += v * (equal @ equal.T)
+    first, size = first[(size > 1) & ~wide], size[(size > 1) & ~wide]
+    ends = np.cumsum(size * size)
+    edges = np.searchsorted(ends, np.arange(0, int(ends[-1]) + _BATCH, _BATCH), "left") if len(ends) else []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         f, c = first[a:b], size[a:b]
         if not len(f):
             continue
         pairs = c * c
-        at = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
-        wide = np.repeat(c, pairs)
-        x, y = np.repeat(f, pairs) + at // wide, np.repeat(f, pairs) + at % wide
-        keep = (of_s[x] < of_s[y]) & (root[of_s[x]] != root[of_s[y]])
-        x, y = x[keep], y[keep]
-        bound += np.bincount(of_s[x] * n + of_s[y], weights=np.minimum(share_s[x], share_s[y]), minlength=n * n)
-    out = []
-    own = lambda i: slice(begin[i], begin[i + 1])
-    for at in np.flatnonzero(bound >= threshold - 1e-9):
-        i, j = divmod(int(at), n)
-        s = probability_jaccard(h[own(i)], w[own(i)], h[own(j)], w[own(j)])
-        if s >= threshold - 1e-12:
-            out.append((i, j, s))
-    return out
+        k = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        each = np.repeat(c, pairs)
+        x, y = np.repeat(f, pairs) + k // each, np.repeat(f, pairs) + k % each
+        cell = of_s[x] * n + of_s[y]
+        own += np.bincount(cell, weights=w_s[x], minlength=n * n).reshape(n, n)
+        same += np.bincount(cell, weights=np.where(w_s[x] == w_s[y], w_s[x], 0), minlength=n * n).reshape(n, n)
+    return own, same
+
+
+def upper_bounds(of: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n, n): at least the J_P of texts i and j; whether it is J_P itself, as no shared shingle differs in weight.
+
+    With X and Y the sums of all weights, x and y those of the shared shingles and e that of the shared
+    shingles of one weight in both: such a shingle adds its weight over X + Y - min(x, y) at most, and the
+    others no more than the smaller of their shares, (x - e) / X and (y - e) / Y, together.
+    """
+    total = np.maximum(np.bincount(of, weights=w, minlength=n), 1e-300)
+    x, e = _pair_sums(of, h, w, n)
+    y = x.T
+    other = np.maximum(np.minimum((x - e) / total[:, None], (y - e) / total[None, :]), 0)
+    return e / np.maximum(total[:, None] + total[None, :] - np.minimum(x, y), 1e-300) + other, np.maximum(x, y) - e < 1e-9
+
+
+def cross_links(root: np.ndarray, of: np.ndarray, h: np.ndarray, w: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """(i, j, similarity) of all similar pairs of texts of different roots.
+
+    Pairs that upper_bounds leaves are computed exactly, unless the bound is exact and not at the threshold itself.
+    """
+    n = len(root)
+    begin = np.searchsorted(of, np.arange(n + 1))
+    bound, exact = upper_bounds(of, h, w, n)
+    i, j = np.nonzero(np.triu((bound >= threshold - 1e-9) & (root[:, None] != root[None, :]), 1))
+    similar = bound[i, j]
+    own = lambda t: slice(begin[t], begin[t + 1])
+    for k in np.flatnonzero(~exact[i, j] | (similar < threshold + 1e-9)):
+        similar[k] = probability_jaccard(h[own(i[k])], w[own(i[k])], h[own(j[k])], w[own(j[k])])
+    good = similar >= threshold - 1e-12
+    return list(zip(i[good].tolist(), j[good].tolist(), similar[good].tolist(), strict=True))
 
 
 def linked_across(open_: DataFrame, texts: DataFrame, threshold: float, words: int, chunk: int = CHUNK) -> DataFrame:
