@@ -10,6 +10,7 @@ from sitelake.functions import urls as U
 from sitelake.runtime import materialize
 
 PREFERRED, THRESHOLD = "en", 0.85
+LOCAL = 1 << 16
 
 
 def first_seen(rows: DataFrame, key: Column, seq: str) -> DataFrame:
@@ -78,25 +79,42 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     return across.unionByName(equal).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "similarity")
 
 
-def similar_leaders(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", rounds: int = 100) -> DataFrame:
+def _greedy(links: list) -> list[tuple[int, bool]]:
+    """(id, keep) of every b in links (a, b, kept); kept is null where a is such a b itself."""
+    before: dict[int, list] = {}
+    for a, b, kept in links:
+        before.setdefault(b, []).append((a, kept))
+    keep: dict[int, bool] = {}
+    for b in sorted(before):
+        keep[b] = not any(keep[a] if kept is None else kept for a, kept in before[b])
+    return list(keep.items())
+
+
+def similar_leaders(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", local: int = LOCAL) -> DataFrame:
     """id, keep, leader, reason: one by one in order of id, a row is kept unless a kept one before it is similar.
 
     In rounds: a row all of whose earlier neighbours are dropped is kept, and one with a kept earlier neighbour is
-    dropped. Each round decides at least the least undecided row of every component.
+    dropped. Each round decides at least the least undecided row of every component, so the rounds end, with every row
+    decided. Once the undecided rows have at most ``local`` earlier neighbours together, the driver decides them
+    in one go, as a long chain of drifting versions takes a round a row.
     """
+    spark = docs.sparkSession
     pairs = materialize(similar_pairs(docs, threshold, id_col, text_col), "leader_pairs")
     ids = docs.select(docs[id_col].cast("long").alias("id")).distinct()
     state = materialize(ids.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi").withColumn("keep", F.lit(None).cast("boolean")), "leader_state")
-    for _ in range(rounds):
+    while not state.filter("keep is null").isEmpty():
         known = state.select(F.col("id").alias("a"), F.col("keep").alias("ka"), F.lit(True).alias("listed"))
         open_ = state.filter("keep is null").select(F.col("id").alias("b"))
         # an earlier neighbour that isn't in state has no earlier neighbour itself, so it is kept
-        seen = pairs.join(open_, "b").join(known, "a", "left").withColumn("kept", F.when(F.col("listed").isNull(), True).otherwise(F.col("ka")))
-        news = seen.groupBy("b").agg(F.bool_or("kept").alias("hit"), F.count_if(F.col("kept").isNull()).alias("wait"))
-        decided = news.select(F.col("b").alias("id"), F.when(F.coalesce("hit", F.lit(False)), False).when(F.col("wait") == 0, True).alias("now"))
+        seen = pairs.join(open_, "b").join(known, "a", "left").select("a", "b", F.when(F.col("listed").isNull(), True).otherwise(F.col("ka")).alias("kept"))
+        seen = materialize(seen, "leader_seen")
+        if seen.count() <= local:
+            decided = spark.createDataFrame(_greedy(seen.collect()), "id long, now boolean")
+        else:
+            news = seen.groupBy("b").agg(F.bool_or("kept").alias("hit"), F.count_if(F.col("kept").isNull()).alias("wait"))
+            decided = news.select(F.col("b").alias("id"), F.when(F.coalesce("hit", F.lit(False)), False).when(F.col("wait") == 0, True).alias("now"))
         state = materialize(state.join(decided, "id", "left").select("id", F.coalesce("keep", "now").alias("keep")), "leader_state")
-        if state.filter("keep is null").isEmpty():
-            break
+    # rows that aren't in state have no earlier neighbour
     kept = ids.join(state.withColumnRenamed("keep", "k"), "id", "left").select("id", F.coalesce("k", F.lit(True)).alias("keep"))
     kept = materialize(kept, "leader_kept")
     first = pairs.join(kept.filter("keep").select(F.col("id").alias("a")), "a").groupBy("b").agg(F.min_by(F.struct("a", "similarity"), "a").alias("m"))

@@ -48,6 +48,14 @@ def test_leaders_are_the_greedy_ones(spark, sf_dir):
     assert got == {d: (leader[d] == d, leader[d]) for d in leader}
 
 
+def test_leaders_of_a_long_chain(spark):
+    # each version is similar to the one before and after it only, so every other one is dropped
+    chain = lambda n: spark.createDataFrame([(i, " ".join(f"w{k:04d}" for k in range(2 * i, 2 * i + 40))) for i in range(n)], "doc_id long, text string")
+    want = lambda n: {i: (i % 2 == 0, i - i % 2) for i in range(n)}
+    assert {r.id: (r.keep, r.leader) for r in dedup.similar_leaders(chain(120)).collect()} == want(120)
+    assert {r.id: (r.keep, r.leader) for r in dedup.similar_leaders(chain(8), local=0).collect()} == want(8)
+
+
 def test_robots(spark):
     text = "User-agent: *\nDisallow: /private\nAllow: /private/public\nDisallow: /*.pdf$\nDisallow: /same\nAllow: /same\nUser-agent: foo\nDisallow: /"
     table = spark.createDataFrame([("x.com", text), ("y.com", "User-agent: *\nUser-agent: foo\nDisallow: /"), ("z.com", "User-agent: *\nDisallow: /x # note\nCrawl-delay: 1.5s")], "host string, text string")
