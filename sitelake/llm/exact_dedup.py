@@ -72,13 +72,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of docs that stay, with all their columns in order; a repeated row stays once.
 
-    The text of a winner comes out of the combining itself; only the other columns are joined to it.
+    The text of a winner comes out of the combining itself; only the other columns are joined to it, by id and
+    digest, as an id (or its lack) may stand on different texts. Of rows that repeat both and differ elsewhere,
+    the one whose other columns come first as JSON stays.
     """
-    others = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col], docs[text_col].isNull().alias("was_null"))
     at = [i for i, c in enumerate(docs.columns) if c != text_col]
-    key = f"c{docs.columns.index(id_col)}"
-    won = contents(docs, id_col, text_col, salts).select("content", "keep_id")
-    joined = won.join(others.dropDuplicates([key]), F.col("keep_id").eqNullSafe(F.col(key).cast("long")))
-    text = F.when(F.col("was_null") & (F.col("content") == ""), F.lit(None)).otherwise(F.col("content"))
-    named = {i: F.col(f"c{i}").alias(docs.columns[i]) for i in at}
+    rest = F.struct(*[docs[docs.columns[i]].alias(f"c{i}") for i in at], docs[text_col].isNull().alias("was_null"))
+    others = docs.select(docs[id_col].cast("long").alias("id"), sha256(F.coalesce(docs[text_col], F.lit(""))).alias("of"), rest.alias("rest"))
+    others = others.groupBy("id", "of").agg(F.min_by("rest", F.to_json("rest")).alias("rest"))
+    won = contents(docs, id_col, text_col, salts).select("digest", "content", "keep_id")
+    joined = won.join(others, F.col("keep_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")))
+    text = F.when(F.col("rest.was_null") & (F.col("content") == ""), F.lit(None)).otherwise(F.col("content"))
+    named = {i: F.col(f"rest.c{i}").alias(docs.columns[i]) for i in at}
     return joined.select(*[named.get(i, text.alias(c)) for i, c in enumerate(docs.columns)])

@@ -50,6 +50,15 @@ def test_kept_rows_keep_their_columns(awkward):
     assert all(r.keep_id == "x" for r in rows)
 
 
+def test_texts_that_share_an_id_keep_their_own_columns(spark):
+    rows = [(None, "a", "en", 1), (None, "b", "fr", 2), (None, "b", "fr", 2), (7, "c", "de", 3), (7, "d", "es", 4), (5, "d", "it", 5), (7, None, None, 6)]
+    out = E.keep_first_copies(spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars int").repartition(3))
+    want = [(None, "a", "en", 1), (None, "b", "fr", 2), (7, "c", "de", 3), (7, "d", "es", 4), (7, None, None, 6)]
+    assert got(out) == sorted(want, key=str)
+    twice = spark.createDataFrame([(1, "a", "y"), (1, "a", "x")], "doc_id long, text string, lang string")
+    assert got(E.keep_first_copies(twice)) == got(E.keep_first_copies(twice.orderBy("lang"))) == [(1, "a", "x")]
+
+
 def test_main_path_is_native(awkward):
     plan = E.exact_dedup(awkward)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
