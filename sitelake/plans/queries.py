@@ -650,6 +650,9 @@ def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.bfs(edges, spark.range(2, 3).select(F.col("id").alias("node")), BFS_DEPTH)
 
 
+LINKS = 8  # 585 pages within three steps, more than max_pages
+
+
 @query()
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A site whose pages link in a ring and across: pages of the table, rewritten to one host."""
@@ -657,8 +660,8 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy())
     page = F.col("page_id")
     numbered = pages.select("page_id", "html", n.alias("n"))
-    link = lambda k: F.concat(F.lit('<a href="/p'), ((page * 2 + k) % F.col("n")).cast("string"), F.lit('">next</a>'))
-    html = F.concat(F.col("html"), link(1), link(2))
+    link = lambda k: F.concat(F.lit('<a href="/p'), ((page * LINKS + k) % F.col("n")).cast("string"), F.lit('">next</a>'))
+    html = F.concat(F.col("html"), *[link(k) for k in range(1, LINKS + 1)])
     site = numbered.select(F.concat(F.lit("https://site.example/p"), page.cast("string")).alias("url"), F.lit("fetch").alias("engine"), F.lit(0).alias("priority"), F.lit(200).alias("status_code"), html.alias("html"), F.lit(None).cast("string").alias("final_url"))
     seeds = spark.range(1).select(F.lit("https://site.example/p0").alias("url"), F.col("id").alias("seq"))
     return frontier.crawl(site, seeds, frontier.CrawlOptions(depth=3, max_pages=300)).select("seq", "url", "depth", "engine", "title", "word_count")

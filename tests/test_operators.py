@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sitelake.functions import dom, markdown
 from sitelake.operators import dedup, extract, fetches, frontier, robots, sink, sitemaps
+from sitelake.plans import queries
 from sitelake.sources import files
 
 
@@ -158,3 +159,12 @@ def test_crawl(spark):
     assert {(r.url, r.seq) for r in some.collect()} == {("s.com", 1), ("https://s.com/a", 2)}
     assert frontier.plan(["https://x/a"], [True], frontier.CrawlOptions()).depth == 0
     assert frontier.plan(["https://x/"], [False], frontier.CrawlOptions()).depth == 2
+
+
+def test_the_crawl_query_reaches_its_max_pages(spark, tmp_path):
+    words = " ".join(f"word{i}" for i in range(30))
+    html = F.concat(F.lit(f"<html><body><article><p>{words} "), F.col("page_id").cast("string"), F.lit("</p></article></body></html>"))
+    spark.range(400).select(F.col("id").alias("page_id")).withColumn("html", html).write.parquet(f"{tmp_path}/pages.parquet")
+    rows = queries.crawl(spark, str(tmp_path)).collect()
+    assert sorted(r.seq for r in rows) == list(range(1, 301))
+    assert {r.depth for r in rows} == {0, 1, 2, 3}
