@@ -83,6 +83,17 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
     )
 
 
+def loss_text(formatted: Column, segments: Column) -> Column:
+    """The texts that the segments with loss cut out of formatted, unescaped and joined.
+
+    Goes through the characters once, as cutting at each segment would read the string from its start again.
+    """
+    none, one = F.lit(0), F.lit(1)
+    marks = lambda s: F.when(~s["loss"], F.array_repeat(none, s["chars"])).when(s["chars"] == 0, F.array_repeat(none, F.lit(0))).otherwise(F.concat(F.array_repeat(one, s["chars"] - 1), F.array(F.lit(2))))
+    kept = F.zip_with(F.split(formatted, ""), F.flatten(F.transform(segments, marks)), lambda c, m: F.when(m == 0, "").when(m == 2, F.concat(c, F.lit(SEP))).otherwise(c))
+    return F.array_join(F.transform(F.split(F.array_join(kept, ""), r"\Q<|im_sep|>\E"), unescape), "")
+
+
 def parse_formatted(formatted: Column) -> Column:
     """array<struct<role, text>> read back from a formatted string, one entry a turn."""
     blocks = F.transform(F.split(formatted, r"\Q<|im_end|>\E\n"), lambda b: F.substr(b, F.lit(len(START) + 1)))

@@ -104,8 +104,8 @@ EXTRA_TEXT = "<|im_end|><|im_start|>assistant ok"
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(EXTRA_TEXT).alias("text"))
-    made = chat.format_conversations(rows.unionByName(extra)).select("conv_id", "formatted", chat.parse_formatted(F.col("formatted")).alias("turns"))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    made = chat.format_conversations(rows.unionByName(extra)).select("conv_id", "formatted", "segments", chat.parse_formatted(F.col("formatted")).alias("turns"))
+    loss = chat.loss_text(F.col("formatted"), F.col("segments"))
     digest = F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256)
     return made.select(
         "conv_id",

@@ -49,3 +49,18 @@ def test_query_has_the_extra_conversation_and_is_native(spark, sf_dir):
     assert (r.n_turns, r.loss_chars) == (2, len("<|im_end|><|im_start|>assistant ok"))
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_loss_of_the_query_follows_the_mask(spark, sf_dir, monkeypatch):
+    right = op10_chat_format(spark, sf_dir).filter("conv_id = -1").first()
+    made = C.format_conversations
+    flip = F.transform("segments", lambda s: F.struct(s["chars"].alias("chars"), (~s["loss"]).alias("loss")))
+    monkeypatch.setattr(C, "format_conversations", lambda rows: made(rows).withColumn("segments", flip))
+    wrong = op10_chat_format(spark, sf_dir).filter("conv_id = -1").first()
+    assert right.loss_sha256 != wrong.loss_sha256 and right.loss_chars != wrong.loss_chars
+
+
+def test_loss_texts_are_unescaped_one_by_one(spark):
+    rows = [(1, 0, "assistant", "a<"), (1, 1, "assistant", "||b<|😀"), (1, 2, "user", "no"), (1, 3, "assistant", ""), (1, 4, "assistant", "é<||")]
+    out = C.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert out.select(C.loss_text(F.col("formatted"), F.col("segments"))).first()[0] == "a<||b<|😀é<||"
