@@ -5,8 +5,8 @@ into pieces of exactly the capacity, of which the first may be shorter. Pieces a
 packed as they come off the tokenizer, inside the task that read them, in blocks of
 ``block_tokens``: there is no shuffle, memory is bounded by the block, and a lost task
 gives the same sequences again. A block's sequences that are not full hand their
-pieces on to the next block, so that a task leaves hardly more than one sequence
-short.
+pieces on to the next block, the emptiest first, up to half a block of tokens. So a
+task leaves hardly more than one sequence short, unless more than that waits at once.
 
 Packing: fill a sequence greedily with the longest piece that fits. When none fits,
 take its smallest piece out and look for the two unpacked pieces that fill the widened
@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 
 from sitelake.runtime import ship
 
-CAPACITY, END_ID, BLOCK_TOKENS, CARRIED = 1024, 2, 1 << 22, 64
+CAPACITY, END_ID, BLOCK_TOKENS = 1024, 2, 1 << 22
+CARRIED = 2  # a block hands on at most the tokens of a block divided by this
 TOKENIZER = "byte_bpe_50k"
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -147,7 +148,12 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
         def packed(last: bool) -> tuple[list[tuple], list[tuple]]:
             nonlocal sequence
             bins = [[held[i] for i in b] for b in best_two_fit([p[3] for p in held], capacity)]
-            short = [] if last else sorted((b for b in bins if sum(p[3] for p in b) < capacity), key=lambda b: sum(p[3] for p in b))[:CARRIED]
+            short, room = [], 0 if last else block_tokens // CARRIED
+            for n, b in sorted(((sum(p[3] for p in b), b) for b in bins), key=lambda x: x[0]):
+                room -= n
+                if n == capacity or room < 0:
+                    break
+                short.append(b)
             skip, rows = {id(b) for b in short}, []
             for b in bins:
                 if id(b) not in skip:

@@ -77,3 +77,12 @@ def test_every_document_of_the_table(spark, sf_dir):
     rows = P.pack_documents(docs).collect()
     check(rows, [(r.doc_id, r.text) for r in docs.collect()])
     assert len({r.sequence_id for r in rows}) <= 1.02 * sum(r.length for r in rows) / 1024 + docs.rdd.getNumPartitions()
+
+
+def test_gaps_wait_for_short_documents_of_a_later_block(spark):
+    texts = ["a a a a a"] * 1000 + ["a a a"] * 1000  # 6 and 4 tokens with the end
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = P.pack_documents(docs, capacity=10, block_tokens=6000).select("doc_id", "sequence_id", "length").collect()
+    assert len(rows) == 2000 and sum(r.length for r in rows) == 10000
+    # the first block hands on half its tokens, 500 sequences; the lower bound of all is 1000
+    assert len({r.sequence_id for r in rows}) <= 1251
