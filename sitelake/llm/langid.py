@@ -13,7 +13,8 @@ byte) -> code length in each language, so a batch of texts is scored by two gath
 numpy. Texts are lower-cased first.
 
 Learning: ``sample_per_lang`` rows of each language at most (a documented bound; the
-rows of lowest hash in ``BUCKETS`` hash buckets), whole texts. The counts of those are
+rows of lowest hash in ``BUCKETS`` hash buckets; a row that repeats id, language and text counts
+once), whole texts. More than ``MAX_LANGUAGES`` languages are an error. The counts of those are
 summed on the executors, and their number is bounded by the sample. Prediction reads
 every row and whole text, in one pass without a shuffle.
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelake.runtime import ship
+from sitelake.runtime import materialize, ship
 
 ORDER, SAMPLE_PER_LANG, BUCKETS, MAX_LANGUAGES = 3, 1024, 64, 256
 UNDETERMINED = "und"
@@ -151,14 +152,22 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def train_rows(docs: DataFrame, train: Column, id_col: str, text_col: str, lang_col: str, per_lang: int) -> DataFrame:
-    """lang, content of the rows to learn from: at most per_lang of a language."""
+    """lang, content of the rows to learn from: at most per_lang of a language. Raises beyond MAX_LANGUAGES languages."""
     rows = docs.filter(train & docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(docs[id_col].alias("key"), docs[lang_col].alias("lang"), docs[text_col].alias("content"))
-    ids = rows.select("key", "lang", F.xxhash64(F.col("key").cast("string")).alias("h"))
-    window = Window.partitionBy("lang", F.pmod("h", F.lit(BUCKETS))).orderBy("h", "key")
+    rows = rows.withColumn("check", F.xxhash64("content"))
+    ids = rows.select("key", "lang", "check", F.xxhash64(F.col("key").cast("string")).alias("h")).distinct()
+    window = Window.partitionBy("lang", F.pmod("h", F.lit(BUCKETS))).orderBy("h", "key", "check")
     chosen = ids.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= max(1, per_lang // BUCKETS))
+    chosen = materialize(chosen.select("key", "lang", "check"), "lang_sample")
+    if chosen.select("lang").distinct().count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     # at most per_lang rows for each of MAX_LANGUAGES languages: a size that does not grow with the table
-    return rows.join(F.broadcast(chosen.select("key", "lang").limit(per_lang * MAX_LANGUAGES)), ["key", "lang"], "left_semi")
+    return rows.join(F.broadcast(chosen), ["key", "lang", "check"], "left_semi").dropDuplicates(["key", "lang", "check"]).select("lang", "content")
 
 
 def train_model(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, per_lang: int = SAMPLE_PER_LANG) -> Model:
@@ -211,8 +220,7 @@ def predict_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text
     kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
     text_at = kept.index(text_col)
     row = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(kept)]).alias("row")
-    has_letter = F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
-    given = docs.select(row, has_letter)
+    given = docs.select(row, has_letter(docs[text_col]).alias("has_letter"))
     kind = given.schema["row"].dataType.simpleString()
     made = given.mapInArrow(score, f"row {kind}, lang_pred string, lang_score double")
     return made.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)], "lang_pred", "lang_score")

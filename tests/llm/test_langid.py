@@ -1,6 +1,8 @@
 import math
+import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sitelake.llm import langid as L
@@ -83,3 +85,34 @@ def test_awkward_rows(awkward, no_rows):
 def test_the_sample_is_bounded(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"))
     assert 0 < L.train_rows(docs, F.lit(True), "doc_id", "text", "lang", 128).count() <= 128
+
+
+def test_rows_that_repeat_an_id_stay_in_the_bound(spark):
+    docs = spark.range(2000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 400).alias("text"), F.lit("en").alias("lang"))
+    rows = [r.content for r in L.train_rows(docs, F.lit(True), "doc_id", "text", "lang", 128).collect()]
+    assert 0 < len(rows) == len(set(rows)) <= 128
+
+
+def test_too_many_languages_are_an_error(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    with pytest.raises(ValueError, match="languages"):
+        L.train_rows(docs, F.lit(True), "doc_id", "text", "lang", 128)
+
+
+def test_predictions_equal_brute_force(spark):
+    rng = random.Random(5)
+    letters = {"aa": "abcde éè", "bb": "abcxyz ß", "cc": "deklmn  "}
+    docs = [(i, "".join(rng.choice(letters[lang]) for _ in range(rng.randrange(1, 30))), lang) for i in range(80) for lang in [rng.choice(list(letters))]]
+    docs += [(90, None, "aa"), (91, "12 34", "bb"), (92, "abc", None), (93, "", "cc")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    learn = F.col("doc_id") % 4 != 2
+    got = {r.doc_id: (r.lang_pred, r.lang_score) for r in L.predict_language(df, L.train_model(df, train=learn)).collect()}
+    counts = {lang: L.ngrams([L._bytes(t) for i, t, own in docs if own == lang and t is not None and i % 4 != 2], 3) for lang in letters}
+    for i, t, _ in docs:
+        if not any(c.isalpha() for c in t or ""):
+            assert got[i] == ("und", 0.0)
+            continue
+        bits = {lang: code_length(counts[lang], 3, L._bytes(t)) for lang in letters}
+        best = min(sorted(bits), key=bits.get)
+        assert got[i][0] == best
+        assert abs(got[i][1] - 1 / sum(2 ** (bits[best] - b) for b in bits.values())) < 1e-3
