@@ -19,6 +19,8 @@ from sitelake.runtime import materialize
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told (null, or no letter) go. The model learns from the documents given."""
     model = langid.train_model(docs, train=F.coalesce(remainder("doc_id", 4) != 2, F.lit(False)))
+    if not model.langs:  # no label to learn from rejects no text
+        return docs.filter(langid.has_letter(docs["text"]))
     marked = langid.predict_language(docs, model)
     return marked.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
 
