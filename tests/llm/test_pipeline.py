@@ -22,6 +22,11 @@ def test_run(spark, sf_dir):
     assert out.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 1024
 
 
+def test_language_keeps_texts_where_no_label_is_set(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "eins zwei drei", None), (2, "12 34", None), (3, None, None), (None, "four five", None)], "doc_id long, text string, lang string")
+    assert sorted((r.text for r in C.language(spark, docs, sf_dir).collect())) == ["eins zwei drei", "four five"]
+
+
 def test_every_operator_has_a_query():
     assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
     assert set(ORACLE_SQL) <= set(QUERIES)
