@@ -12,19 +12,19 @@ Registers form bands; texts that share a band are candidates. Candidates are ver
 the exact J_P of their shingles. Two texts of similarity 0.8 miss each other in all of 26
 bands of 6 registers with probability 4e-4.
 
-No bucket is expanded into pairs as it is. Identical texts are one representative first.
-Every bucket then links its members to its least one; links that verify give
-components, and all members of a component are done with each other. Only where a
-bucket still holds several components, members of different ones are compared, so that a
-link between two texts of which just one is like the bucket's least is not lost: chunks of
-the bucket meet two by two in a task, which bounds J_P for all pairs in matrix products, computes it for those
-that the bound leaves, and returns links, never pairs.
+No bucket is expanded into pairs. Identical texts are one numbered representative first, and buckets of the same
+members are one bucket. A bucket is divided into chunks of about CHUNK members, each with the bucket's
+least one besides; a task bounds J_P for all pairs of a chunk in matrix products, computes it for those that the
+bounds leave open, and returns the links of a spanning forest: fewer than there are texts, however many pairs
+are similar. A bucket of one chunk is done with that. Where a larger one still holds several components,
+its members outside the largest component meet all others, chunk by chunk, so that no link is lost; members
+of one component never meet again.
 
 Words are runs of ASCII letters and digits and of anything outside ASCII, lower-cased.
 
 Defined results: a null text is empty. Texts without words are near duplicates of identical
-texts only. A row without an id is a class of its own with a null class id. Rows that
-repeat an id and text are reported each. class_id is the least id of a class. An empty
+texts only. Every row is classified by its text, rows without an id or that repeat one as well, and each is reported.
+class_id is the least id of a class, null where no row of it has one. An empty
 table gives no rows. Only the two named columns are read.
 """
 
@@ -182,33 +182,6 @@ def signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
     return docs.select("doc_id", "digest", "content").mapInArrow(sign, "doc_id long, digest binary, keys array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
-    """a, b, similarity of those pairs (a, b) whose texts are similar enough."""
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 128):
-                part = batch.slice(k, 128)
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                by_id: dict[int, str] = {}
-                for ids, column in ((a, part.column(2)), (b, part.column(3))):
-                    for i, t in zip(ids, column, strict=True):
-                        if i not in by_id:
-                            by_id[i] = t.as_py()
-                slot = {i: s for s, i in enumerate(by_id)}
-                of, h, times = shingles(list(by_id.values()), words)
-                begin = np.searchsorted(of, np.arange(len(slot) + 1))
-                w = weight(times)
-                own = lambda i: slice(begin[slot[i]], begin[slot[i] + 1])  # noqa: B023, E731
-                s = [probability_jaccard(h[own(i)], w[own(i)], h[own(j)], w[own(j)]) for i, j in zip(a, b, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s, pa.float64())], ["a", "b", "similarity"])
-
-    left = texts.select(F.col("doc_id").alias("a"), F.col("content").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("content").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(verify, "a long, b long, similarity double").filter(F.col("similarity") >= threshold - 1e-12)
-
-
 def _beside(key: str) -> Column:
     """A second grouping key that the first one determines: the groups are the same, but a join on the first one
     alone then shuffles both sides right below it, where adaptive execution can split a hot key."""
@@ -257,50 +230,57 @@ def _pair_sums(of: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> tuple[np
     return own, same
 
 
-def upper_bounds(of: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n, n): at least the J_P of texts i and j; whether it is J_P itself, as no shared shingle differs in weight.
+def bounds(of: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n, n) each: at least and at most the J_P of different texts i and j; the same where no shared shingle differs in weight.
 
     With X and Y the sums of all weights, x and y those of the shared shingles and e that of the shared
-    shingles of one weight in both: such a shingle adds its weight over X + Y - min(x, y) at most, and the
-    others no more than the smaller of their shares, (x - e) / X and (y - e) / Y, together.
+    shingles of one weight in both: such a shingle adds its weight over X + Y - m, where m, the sum of the
+    smaller weights, is between e and min(x, y). The others add no more than the smaller of their shares,
+    (x - e) / X and (y - e) / Y, together.
     """
     total = np.maximum(np.bincount(of, weights=w, minlength=n), 1e-300)
     x, e = _pair_sums(of, h, w, n)
-    y = x.T
+    y, both = x.T, total[:, None] + total[None, :]
     other = np.maximum(np.minimum((x - e) / total[:, None], (y - e) / total[None, :]), 0)
-    return e / np.maximum(total[:, None] + total[None, :] - np.minimum(x, y), 1e-300) + other, np.maximum(x, y) - e < 1e-9
+    high = e / np.maximum(both - np.minimum(x, y), 1e-300) + other
+    return np.where(np.maximum(x, y) - e < 1e-9, high, e / np.maximum(both - e, 1e-300)), high
 
 
-def cross_links(root: np.ndarray, of: np.ndarray, h: np.ndarray, w: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-    """(i, j, similarity) of all similar pairs of texts of different roots.
+def spanning_links(root: np.ndarray, of: np.ndarray, h: np.ndarray, w: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """(i, j): similar pairs of texts that join all components (given by root) which any similar pair joins.
 
-    Pairs that upper_bounds leaves are computed exactly, unless the bound is exact and not at the threshold itself.
+    J_P is computed for pairs that the bounds leave open, and only while they are in different components.
     """
     n = len(root)
     begin = np.searchsorted(of, np.arange(n + 1))
-    bound, exact = upper_bounds(of, h, w, n)
-    i, j = np.nonzero(np.triu((bound >= threshold - 1e-9) & (root[:, None] != root[None, :]), 1))
-    similar = bound[i, j]
+    low, high = bounds(of, h, w, n)
+    label = np.unique(root, return_inverse=True)[1]
+    out = []
+
+    def join(i: int, j: int) -> None:
+        out.append((i, j))
+        label[label == label[j]] = label[i]
+
+    sure = low >= threshold + 1e-9
+    for i in np.flatnonzero(sure.any(1)):
+        while len(others := np.flatnonzero(sure[i] & (label != label[i]))):
+            join(int(i), int(others[0]))
     own = lambda t: slice(begin[t], begin[t + 1])
-    for k in np.flatnonzero(~exact[i, j] | (similar < threshold + 1e-9)):
-        similar[k] = probability_jaccard(h[own(i[k])], w[own(i[k])], h[own(j[k])], w[own(j[k])])
-    good = similar >= threshold - 1e-12
-    return list(zip(i[good].tolist(), j[good].tolist(), similar[good].tolist(), strict=True))
+    open_ = np.triu((high >= threshold - 1e-9) & ~sure & (label[:, None] != label[None, :]), 1)
+    for i, j in zip(*(x.tolist() for x in np.nonzero(open_)), strict=True):
+        if label[i] != label[j] and probability_jaccard(h[own(i)], w[own(i)], h[own(j)], w[own(j)]) >= threshold - 1e-12:
+            join(i, j)
+    return out
 
 
-def linked_across(open_: DataFrame, texts: DataFrame, threshold: float, words: int, chunk: int = CHUNK) -> DataFrame:
-    """a, b, similarity of similar members of a bucket with different roots. open_: key, rep, root, n (members of the bucket).
-
-    A bucket is divided into chunks of about `chunk` members, and two chunks at a time meet in a task, which returns
-    links alone: pairs are never rows, and a task holds two chunks at most.
-    """
+def linked(cells: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
+    """a, b: links of a spanning forest in each cell. cells: key, lo, hi (which name the cell), num, root; texts: num, content."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(ids: list[int], roots: list[int], texts: list[str]) -> pa.RecordBatch:
+        def links(nums: list[int], roots: list[int], texts: list[str]) -> pa.RecordBatch:
             of, h, times = shingles(texts, words)
-            found = cross_links(np.array(roots), of, h, weight(times), threshold)
-            a, b = [min(ids[i], ids[j]) for i, j, _ in found], [max(ids[i], ids[j]) for i, j, _ in found]
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([x for *_, x in found], pa.float64())], ["a", "b", "similarity"])
+            found = spanning_links(np.array(roots), of, h, weight(times), threshold)
+            return pa.RecordBatch.from_arrays([pa.array([nums[i] for i, _ in found], pa.int64()), pa.array([nums[j] for _, j in found], pa.int64())], ["a", "b"])
 
         now, held = None, ([], [], [])
         for batch in batches:
@@ -315,50 +295,82 @@ def linked_across(open_: DataFrame, texts: DataFrame, threshold: float, words: i
         if len(set(held[1])) > 1:
             yield links(*held)
 
-    parts = F.ceil(F.col("n") / chunk).cast("int")
-    chunks = open_.withColumn("own", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    placed = chunks.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rep", "root")
-    rows = placed.join(texts, placed["rep"] == texts["doc_id"]).select("key", "lo", "hi", "rep", "root", "content")
-    met = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(compare, "a long, b long, similarity double")
-    return met.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    rows = cells.join(texts, "num").select("key", "lo", "hi", "num", "root", "content")
+    met = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(compare, "a long, b long")
+    return met.distinct()
+
 
+def _dealt(parts: Column) -> Column:
+    """A chunk of a bucket's member: another one in each bucket, so that chunks of different buckets overlap at random."""
+    return F.pmod(F.xxhash64("num", "key"), parts)
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, class_size, links (verified links of the row's text to different texts)."""
-    spark = docs.sparkSession
-    ship(spark)
+
+def own_cells(buckets: DataFrame, chunk: int) -> DataFrame:
+    """Each member in one chunk of its bucket, and the least member in all. buckets: key, num, hub, n."""
+    parts = F.ceil(F.col("n") / chunk)
+    at = F.when(F.col("num") == F.col("hub"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(_dealt(parts)))
+    return buckets.select("key", F.explode(at).alias("lo"), "num").select("key", "lo", F.col("lo").alias("hi"), "num", F.col("num").alias("root"))
+
+
+def open_cells(buckets: DataFrame, found: DataFrame, chunk: int) -> DataFrame:
+    """Of buckets of several chunks and components: every chunk outside the largest component with every other chunk.
+
+    buckets: key, num, n; found: node, root. With a members in the largest component and b outside, a row goes to about b / chunk
+    cells, those outside to (a + b) / chunk.
+    """
+    large = buckets.filter(F.col("n") > chunk)
+    labelled = materialize(large.join(found, large["num"] == found["node"], "left").select("key", "num", "n", F.coalesce("root", "num").alias("root")), "near_labelled")
+    sizes = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("held"))
+    most = sizes.groupBy("key", _beside("key")).agg(F.max(F.struct("held", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    rows = labelled.join(most.select("key", F.col("top.held").alias("a"), F.col("top.root").alias("main")), "key")
+    inner, outer = F.ceil(F.col("a") / chunk), F.ceil((F.col("n") - F.col("a")) / chunk)
+    inside = F.col("root") == F.col("main")
+    rows = rows.withColumn("own", F.when(inside, _dealt(inner)).otherwise(inner + _dealt(outer)))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(inside, inner).otherwise(F.lit(0)), inner + outer - 1)))
+    return rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "num", "root")
+
+
+def _members(docs: DataFrame, threshold: float, words: int, bands: int, rows: int, chunk: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, digest, class_id, class_size, first (the digest that stays with class_id) of every row."""
+    ship(docs.sparkSession)
     text = F.coalesce(docs[text_col], F.lit(""))
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("content"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    signed = materialize(signatures(base.filter("doc_id is not null"), bands, rows, words), "near_signatures")
-    ones = materialize(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")), "near_ones")
-    members = ones.select("rep", F.explode("keys").alias("key"))
-    # a bucket's least member; grouped by more than the join needs, so that the join shuffles both sides right below it
-    hubs = members.groupBy("key", _beside("key")).agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub")
-    buckets = materialize(members.join(hubs, "key"), "near_buckets")
-    wanted = buckets.select("rep").distinct()
-    texts = materialize(base.join(wanted, base["doc_id"] == wanted["rep"], "left_semi").select("doc_id", "content").dropDuplicates(["doc_id"]), "near_texts")
-    first = buckets.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialize(verified(first, texts, threshold, words), "near_links")
-    found = components(links)
-    # buckets of several components: members of different ones
-    labelled = buckets.join(found, buckets["rep"] == found["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    labelled = materialize(labelled, "near_labelled")
-    still = labelled.groupBy("key", _beside("key")).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).filter("r0 <> r1").select("key", "n")
-    open_ = materialize(labelled.join(still, "key").select("key", "rep", "root", "n"), "near_open")
-    more = materialize(linked_across(open_, texts, threshold, words), "near_more")
-    links = links.unionByName(more)
-    found = materialize(components(links), "near_components")
-    degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    named = ones.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").join(degree, "rep", "left")
-    named = materialize(named.select("digest", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")), "near_named")
-    placed = materialize(signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "links"), "near_placed")
-    sizes = placed.groupBy("class_id", _beside("class_id")).agg(F.count(F.lit(1)).alias("class_size")).drop("beside")
-    alone = base.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("links"))
-    return placed.join(sizes, "class_id").select("doc_id", "class_id", "class_size", "links").union(alone)
-
-
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that are the first of their class; rows without an id stay."""
-    classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, **options)
-    dropped = materialize(classes.filter("doc_id <> class_id").select("doc_id").distinct(), "near_dropped").withColumnRenamed("doc_id", "dropped_id")
-    return docs.join(dropped, docs[id_col].cast("long") == dropped["dropped_id"], "left_anti")
+    signed = materialize(signatures(base, bands, rows, words), "near_signatures")
+    # numbers of different texts: fixed once the table is written
+    ones = signed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
+    ones = materialize(ones.select("digest", "least", "keys", F.monotonically_increasing_id().alias("num")), "near_ones")
+    members = ones.select("num", F.explode("keys").alias("key"))
+    # grouped by more than the join needs, so that the join shuffles both sides right below it
+    sets = members.groupBy("key", _beside("key")).agg(F.min("num").alias("hub"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("num")).alias("x"), F.bit_xor(F.xxhash64("num", F.lit(1))).alias("y"))
+    sets = sets.filter("n > 1").groupBy("n", "hub", "x", "y").agg(F.min("key").alias("key")).select("key", "hub", "n")  # of buckets with the same members, one
+    buckets = materialize(members.join(sets, "key").select("key", "num", "hub", "n"), "near_buckets")
+    wanted = ones.join(buckets.select("num").distinct(), "num", "left_semi").select(F.col("digest").alias("of"), "least", "num")
+    texts = base.join(wanted, (base["digest"] == wanted["of"]) & base["doc_id"].eqNullSafe(wanted["least"]))
+    texts = materialize(texts.select("num", "content").dropDuplicates(["num"]), "near_texts")
+    links = materialize(linked(own_cells(buckets, chunk), texts, threshold, words), "near_links")
+    cells = materialize(open_cells(buckets, components(links), chunk), "near_cells")
+    more = materialize(linked(cells, texts, threshold, words), "near_more")
+    found = materialize(components(links.unionByName(more)), "near_components")
+    named = ones.select("digest", "num").join(found, F.col("num") == F.col("node"), "left").select(F.col("digest").alias("of"), F.coalesce("root", "num").alias("root"))
+    placed = materialize(signed.join(named, F.col("digest") == F.col("of")).select("doc_id", "digest", "root"), "near_placed")
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("digest").alias("of"))).alias("least")
+    classes = placed.groupBy("root", _beside("root")).agg(least, F.count(F.lit(1)).alias("class_size"))
+    classes = classes.select("root", "class_size", F.col("least.id").alias("class_id"), F.col("least.of").alias("first"))
+    return placed.join(classes, "root").select("doc_id", "digest", "class_id", "class_size", "first")
+
+
+def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id, class_size of every row."""
+    return _members(docs, threshold, words, bands, rows, chunk, id_col, text_col).select("doc_id", "class_id", "class_size")
+
+
+def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are the first of their class, by id (rows without one last) and then digest.
+
+    Rows that repeat an id and text stay or go together; rows that share an id alone are different ones.
+    """
+    every = _members(docs, threshold, words, bands, rows, chunk, id_col, text_col)
+    goes = ~(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("first")))
+    dropped = materialize(every.filter(goes).select(F.col("doc_id").alias("dropped_id"), F.col("digest").alias("dropped_digest")).distinct(), "near_dropped")
+    digest = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
+    return docs.join(dropped, (digest == dropped["dropped_digest"]) & docs[id_col].cast("long").eqNullSafe(dropped["dropped_id"]), "left_anti")

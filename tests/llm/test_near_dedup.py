@@ -51,8 +51,10 @@ def test_hashed_shingles_give_exact_similarity():
         assert len(own[i][0]) == len(bag(texts[i]))
         for j in range(len(texts)):
             assert abs(N.probability_jaccard(*own[i], *own[j]) - jp(bag(texts[i]), bag(texts[j]))) < 1e-9
-    found = {(i, j) for i, j, _ in N.cross_links(np.arange(len(texts)), of, h, N.weight(times), 0.8)}
-    assert found == {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if jp(bag(texts[i]), bag(texts[j])) >= 0.8}
+    low, high = N.bounds(of, h, N.weight(times), len(texts))
+    exact = np.array([[jp(bag(t), bag(u)) for u in texts] for t in texts])
+    two = ~np.eye(len(texts), dtype=bool)
+    assert (low <= exact + 1e-9)[two].all() and (exact <= high + 1e-9)[two].all()
 
 
 def test_registers_agree_as_often_as_the_similarity():
@@ -69,6 +71,30 @@ def classes(df, **options):
     return {r.doc_id: (r.class_id, r.class_size) for r in N.near_duplicate_classes(df, **options).collect()}
 
 
+def joined(n, links):
+    label = list(range(n))
+    for i, j in links:
+        label = [label[i] if x == label[j] else x for x in label]
+    return [label.index(x) for x in label]
+
+
+def test_spanning_links_join_what_all_similar_pairs_join():
+    for seed in range(20):
+        rng = random.Random(seed)
+        texts = [*family(rng, 12, 60, 0.03), *family(rng, 8, 30, 0.02), "a b c d e a b c d e a b c d e a b", "a b c d e a b c d e"]
+        texts += [t + " " + t.split(" ", 1)[1] for t in texts[:6]]  # shingles of other weights
+        n = len(texts)
+        of, h, times = N.shingles(texts)
+        pairs = [(i, j) for i in range(n) for j in range(i) if jp(bag(texts[i]), bag(texts[j])) >= 0.8]
+        links = N.spanning_links(np.arange(n), of, h, N.weight(times), 0.8)
+        assert {(max(p), min(p)) for p in links} <= set(pairs)
+        assert joined(n, links) == joined(n, pairs) and len(links) == n - len(set(joined(n, links)))
+        root = np.array([i % 5 for i in range(n)])
+        links = N.spanning_links(root, of, h, N.weight(times), 0.8)
+        known = [(i, i % 5) for i in range(n)]
+        assert joined(n, known + links) == joined(n, known + pairs) and len(links) < 5
+
+
 def test_planted_families_against_brute_force(spark):
     rng = random.Random(7)
     passage = " ".join(family(rng, 1, 60, 0))
@@ -83,27 +109,56 @@ def test_planted_families_against_brute_force(spark):
     assert all(n == sum(x == c for x in want.values()) for c, n in got.values())
 
 
-def test_chunks_of_a_bucket_miss_nothing(spark):
+def test_chunks_of_buckets_miss_nothing(spark):
     rng = random.Random(9)
-    docs = list(enumerate(family(rng, 40, 60, 0.02)))
+    texts = [*family(rng, 40, 60, 0.02), *family(rng, 30, 60, 0.03)]
+    docs = list(enumerate(texts))
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(sorted(docs))
+    for chunk in (3, 8, 256):
+        assert {d: c for d, (c, _) in classes(df, chunk=chunk).items()} == want
+
+
+def test_every_two_components_of_a_bucket_meet(spark):
+    members = [(7, i, 50) for i in range(50)] + [(8, i, 12) for i in range(12)]
+    buckets = spark.createDataFrame(members, "key long, num long, n long")
+    roots = {i: (0 if i < 30 else i // 4 * 4) for i in range(50)}
+    found = spark.createDataFrame(list(roots.items()), "node long, root long")
+    rows = N.open_cells(buckets, found, 6).collect()
+    assert {r.key for r in rows} == {7}
+    cells = {}
+    for r in rows:
+        assert r.root == roots[r.num]
+        cells.setdefault((r.lo, r.hi), set()).add(r.num)
+    for i in range(50):
+        for j in range(i):
+            if roots[i] != roots[j]:
+                assert any({i, j} <= c for c in cells.values())
+    assert sum(i in c for i in range(30) for c in cells.values()) == 30 * 4  # 20 outside: 4 chunks
+
+
+def test_ids_that_repeat_or_lack(spark):
+    rng = random.Random(3)
+    x, near_x = family(rng, 2, 60, 0.004)
+    y, z = (family(rng, 1, 60, 0)[0] for _ in range(2))
+    docs = [(1, x), (5, near_x), (5, y), (5, y), (None, z), (None, y), (None, near_x), (None, None), (6, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    of, h, times = N.shingles([t for _, t in docs])
-    want = {(i, j) for i, j, _ in N.cross_links(np.arange(40), of, h, N.weight(times), 0.8)}
-    open_ = spark.createDataFrame([(1, i, i, 40) for i in range(40)], "key long, rep long, root long, n long")
-    texts = df.withColumnRenamed("text", "content")
-    for chunk in (7, 256):
-        assert {(r.a, r.b) for r in N.linked_across(open_, texts, 0.8, 5, chunk).collect()} == want
+    kept = sorted(((r.doc_id, r.text) for r in N.keep_one_of_each(df).collect()), key=str)
+    assert kept == sorted([(1, x), (5, y), (5, y), (None, z), (6, "")], key=str)
+    got = sorted(((r.doc_id, r.class_id, r.class_size) for r in N.near_duplicate_classes(df).collect()), key=str)
+    assert got == sorted([(1, 1, 3), (5, 1, 3), (None, 1, 3), (5, 5, 3), (5, 5, 3), (None, 5, 3), (None, None, 1), (None, 6, 2), (6, 6, 2)], key=str)
 
 
 def test_awkward_rows(awkward, no_rows):
     rows = N.near_duplicate_classes(awkward).collect()
     assert len(rows) == awkward.count()
     by = {r.doc_id: r.class_id for r in rows}
-    assert by[1] == by[2] == 1 and by[6] == by[7] == 6 and by[3] == by[4] == 3 and by[None] is None
+    assert by[1] == by[2] == 1 and by[6] == by[7] == 6 and by[3] == by[4] == 3
     assert by[5] == 5 and by[9] == 9 and by[10] == 10
     kept = N.keep_one_of_each(awkward)
     assert kept.columns == awkward.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 1, 3, 5, 6, None, None, 8, 9, 10, 11], key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 1, 3, 5, 6, None, 8, 9, 10, 11], key=str)
     assert N.near_duplicate_classes(no_rows).count() == 0
 
 
