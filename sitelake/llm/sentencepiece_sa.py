@@ -9,12 +9,17 @@ The model is a byte-pair model: merges in order of score, leftmost first. There
 of a text has one encoding, and its last piece is the one that ends there, is itself stable, and
 is *compatible* with the last piece at its start: merging the characters of the two
 together gives just these two. So relaxing an edge is one test against the piece that ends
-where it starts, and at most one edge into a position holds. A character in no piece
-is an edge of its byte pieces, which nothing merges with.
+where it starts, and at most one edge into a position holds. A byte of a character that is in no piece
+is an edge of its byte piece, which fits beside any other.
+
+Two pieces are compatible if no merge crosses their border: from the two backwards in order of
+score, the piece made last is divided into the parts that it was merged from, and whenever the two parts at the border
+make a piece, that must come later than the merges that use them up. This is done for all edges
+that end at one offset of their units at once, in numpy; offsets that only few units reach go edge by edge.
 
 Units are runs of spaces with the word that follows, and line feeds; no piece of the
 model spans two of them (which is verified when it is loaded), so the encoding of a text is
-that of its units in order. Units that begin with several spaces are merged directly: the
+that of its units in order. Units that begin with several spaces are merged directly, by a heap: the
 model gives its space runs one and the same score, for which the rule above is not proven.
 
 Results equal the sentencepiece library's, in encoding and decoding (tested).
@@ -26,6 +31,7 @@ id sequence decodes; bytes that aren't UTF-8 become U+FFFD. Only the named colum
 
 from __future__ import annotations
 
+import heapq
 import re
 from array import array
 from collections.abc import Iterator
@@ -39,7 +45,9 @@ from sitelake.runtime import ship
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-REMEMBERED, REMEMBERED_PAIRS, BATCH_BYTES = 400_000, 500_000, 1 << 18
+REMEMBERED, REMEMBERED_PAIRS, BATCH_BYTES = 400_000, 1_000_000, 1 << 19
+LONG_UNIT = 64  # longer units are not remembered
+FEW = 48  # edges at an offset that are relaxed one by one
 _BREAK = b"\xf8"  # in no UTF-8 text
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 _loaded: dict[str, "Pieces"] = {}
@@ -65,32 +73,91 @@ class Pieces:
             self.byte_of[i] = self.text[i].replace(SPACE, " ").encode()
         for b, i in self.byte_id.items():
             self.byte_of[i] = bytes([b])
-        searched = sorted((p.encode(), i) for p, i in self.id.items() if not p.startswith(SPACE * 2) and self.merge(p) == [p])
-        self.searched = np.array([p for p, _ in searched])
+        made = {q: self.merge(q) for q in self.id if not q.startswith(SPACE * 2)}
+        searched = sorted((q.encode(), self.id[q]) for q, (parts, _) in made.items() if len(parts) == 1)
+        self.searched = np.array([q for q, _ in searched])
         self.searched_id = np.array([i for _, i in searched], np.int64)
-        self.searched_len = np.array([len(p) for p, _ in searched], np.int64)
+        self.searched_len = np.array([len(q) for q, _ in searched], np.int64)
         self.window = int(self.searched_len.max()) + 1
-        self.after = np.array([p + b"\xff" for p, _ in searched])
-        self.fits: dict[int, bool] = {}
+        self.after = np.array([q + b"\xff" for q, _ in searched])
+        self.single = np.array([len(t) == 1 for t in self.text])
+        self.bytes = np.zeros(n, bool)
+        self.bytes[list(self.byte_id.values())] = True
+        self.byte_ids = np.array([self.byte_id.get(b, 0) for b in range(256)])
+        # rank: the order of merges; the parts that a piece was merged from
+        whole = [i for i in self.searched_id.tolist() if len(self.text[i]) > 1]
+        scores = np.unique([-x for x in self.score.values()])
+        self.rank = np.full(n + 1, -1, np.int64)
+        self.rank[whole] = np.searchsorted(scores, [-self.score[self.text[i]] for i in whole])
+        self.left, self.right = np.full(n, n), np.full(n, n)
+        for i in whole:
+            x, y = (self.id[q] for q in made[self.text[i]][1])
+            self.left[i], self.right[i] = x, y
+        if len(np.unique(self.rank[whole])) < len(whole) or (np.maximum(self.rank[self.left[whole]], self.rank[self.right[whole]]) >= self.rank[whole]).any():
+            raise ValueError("pieces share a score, or come before their parts")
+        two = [(self.id[q[:k]] << 20 | self.id[q[k:]], self.score[q]) for q in self.id for k in range(1, len(q)) if q[:k] in self.id and q[k:] in self.id]
+        two.sort()
+        self.pairs = np.array([k for k, _ in two], np.int64)
+        self.pair_rank = np.searchsorted(scores, [-x for _, x in two])
+        self.known, self.known_fit = np.zeros(1, np.int64), np.zeros(1, bool)
         self.units: dict[str, bytes] = {}
 
-    def merge(self, text: str) -> list[str]:
-        """Byte-pair merging of one string: the best score first, then the leftmost."""
-        parts = list(text)
-        while True:
-            best = max((((self.score[x + y], -k) for k, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in self.score)), default=None)
-            if best is None:
-                return parts
-            k = -best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-
-    def compatible(self, a: int, b: int) -> bool:
-        key = a << 20 | b
-        if (ok := self.fits.get(key)) is None:
-            if len(self.fits) > REMEMBERED_PAIRS:
-                self.fits.clear()
-            ok = self.fits[key] = self.merge(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
-        return ok
+    def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """Byte-pair merging of one string, the best score first, then the leftmost; also the last two parts merged."""
+        n = len(text)
+        part, after, before, final = [*text, ""], list(range(1, n + 2)), list(range(-1, n)), None
+        heap = [(-self.score[text[k : k + 2]], k, text[k : k + 2], k + 1) for k in range(n - 1) if text[k : k + 2] in self.score]
+        heapq.heapify(heap)
+        while heap:
+            _, k, both, j = heapq.heappop(heap)
+            if not part[k] or after[k] != j or part[k] + part[j] != both:
+                continue  # used up since
+            final = part[k], part[j]
+            part[k], part[j] = both, ""
+            after[k] = j = after[j]
+            if j < n:
+                before[j] = k
+            for x, y in ((before[k], k), (k, j)):
+                if x >= 0 and y < n and (both := part[x] + part[y]) in self.score:
+                    heapq.heappush(heap, (-self.score[both], x, both, y))
+        return [q for q in part if q], final
+
+    def fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether no merge crosses the border of pieces a and b."""
+        out, late = np.ones(len(a), bool), np.iinfo(np.int64).max
+        at, x, y = np.arange(len(a)), a.copy(), b.copy()
+        use_x, use_y = np.full(len(a), late), np.full(len(a), late)  # when a merge uses x up, and y
+        while len(at):
+            key = x << 20 | y
+            found = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            rank = np.where(self.pairs[found] == key, self.pair_rank[found], late)
+            crossed = (rank < use_x) & ((rank < use_y) | ((rank == use_y) & (rank < late)))
+            out[at[crossed]] = False
+            rx, ry = self.rank[x], self.rank[y]
+            go = ~crossed & ((rx >= 0) | (ry >= 0))
+            at, x, y, use_x, use_y, rx, ry = (c[go] for c in (at, x, y, use_x, use_y, rx, ry))
+            first = rx > ry
+            use_x, use_y = np.where(first, rx, use_x), np.where(first, use_y, ry)
+            x, y = np.where(first, self.right[x], x), np.where(first, y, self.left[y])
+        return out
+
+    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """fit, remembered; a is -2 where nothing is before b."""
+        out = (a < 0) | self.bytes[a] | self.bytes[b]
+        ask = np.flatnonzero(~out)
+        key = a[ask] << 20 | b[ask]
+        found = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
+        out[ask] = self.known_fit[found]
+        new = self.known[found] != key
+        if new.any():
+            keys, where = np.unique(key[new], return_inverse=True)
+            fits = self.fit(keys >> 20, keys & ((1 << 20) - 1))
+            out[ask[new]] = fits[where]
+            if len(self.known) + len(keys) > REMEMBERED_PAIRS:
+                self.known, self.known_fit = self.known[:1], self.known_fit[:1]
+            at = np.searchsorted(self.known, keys)
+            self.known, self.known_fit = np.insert(self.known, at, keys), np.insert(self.known_fit, at, fits)
+        return out
 
     def ids_of(self, parts: list[str]) -> list[int]:
         return [i for p in parts for i in ([self.id[p]] if p in self.id else map(self.byte_id.__getitem__, p.encode("utf-8", "surrogatepass")))]
@@ -103,7 +170,7 @@ def pieces(path: str) -> Pieces:
 
 
 def occurrences(p: Pieces, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, piece) of every occurrence of every piece, by end and then start."""
+    """(start, end, piece) of every occurrence of every piece."""
     padded = np.concatenate([text, np.frombuffer(_BREAK * p.window, np.uint8)])
     windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, p.window)[: len(text)]).view(f"S{p.window}").ravel()
     suffixes = np.argsort(windows, kind="stable")
@@ -113,16 +180,15 @@ def occurrences(p: Pieces, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
     start = suffixes[at]
     end = start + np.repeat(p.searched_len, n)
-    order = np.lexsort((start, end))
-    return start[order], end[order], np.repeat(p.searched_id, n)[order]
+    return start, end, np.repeat(p.searched_id, n)
 
 
-def encode_units(p: Pieces, units: list[str]) -> None:
-    """Put the ids of every unit into p.units."""
-    data = []
+def encode_units(p: Pieces, units: list[str]) -> dict[str, bytes]:
+    """The ids of every unit."""
+    out, data = {}, []
     for u in units:
         if u.startswith(SPACE * 2):
-            p.units[u] = array("I", p.ids_of(p.merge(u))).tobytes()
+            out[u] = array("I", p.ids_of(p.merge(u)[0])).tobytes()
         else:
             data.append((u, u.encode("utf-8", "surrogatepass")))
     at = 0
@@ -132,49 +198,66 @@ def encode_units(p: Pieces, units: list[str]) -> None:
             part.append(data[at])
             size += len(data[at][1]) + 1
             at += 1
-        text = np.frombuffer(_BREAK.join([d for _, d in part] + [b""]), np.uint8)
-        start, end, piece = occurrences(p, text)
-        # last[k]: the piece that ends at k; back[k]: where it starts; -1: not reached; -2: the start of a unit, or after bytes
-        last, back = [-1] * (len(text) + 1), [0] * (len(text) + 1)
-        begin = [0]
-        for _, d in part:
-            begin.append(begin[-1] + len(d) + 1)
-        for b in begin:
-            last[b] = -2
-        covered = np.zeros(len(text) + 1, bool)
-        single = np.array([len(t) == 1 for t in p.text])
-        covered[start[single[piece]]] = True
-        loose = _characters_outside(text, covered)
-        edges = zip(start.tolist(), end.tolist(), piece.tolist(), strict=True)
-        if loose:
-            edges = sorted([*edges, *((s, e, -2) for s, e in loose)], key=lambda x: (x[1], x[0]))
-        fits = p.fits
-        for s, e, i in edges:
-            if last[e] == -1 and (before := last[s]) != -1:  # one edge into a position holds, so the others needn't be tried
-                if before == -2 or i == -2:
+        out.update(zip((u for u, _ in part), relax(p, [d for _, d in part]), strict=True))
+    return out
+
+
+def relax(p: Pieces, data: list[bytes]) -> list[bytes]:
+    """The ids of each unit: edges of all units together, by where they end in their unit."""
+    text = np.frombuffer(_BREAK.join([*data, b""]), np.uint8)
+    start, end, piece = occurrences(p, text)
+    covered = np.zeros(len(text) + 1, bool)
+    covered[start[p.single[piece]]] = True
+    loose = _bytes_outside(text, covered)
+    start, end, piece = np.concatenate([start, loose]), np.concatenate([end, loose + 1]), np.concatenate([piece, p.byte_ids[text[loose]]])
+    size = np.array([len(d) + 1 for d in data])
+    begin = np.cumsum(size) - size
+    offset = end - np.repeat(begin, size)[start]
+    order = np.argsort(offset, kind="stable")
+    start, end, piece = start[order], end[order], piece[order]
+    # last[k]: the piece that ends at k; back[k]: where it starts; -1: not reached; -2: the start of a unit
+    last, back = np.full(len(text) + 1, -1), np.zeros(len(text) + 1, np.int64)
+    last[begin] = -2
+    steps, k = np.bincount(offset), 0
+    many = np.flatnonzero(steps >= FEW)
+    for stop in np.cumsum(steps)[: many[-1] + 1 if len(many) else 0].tolist():
+        if stop == k:
+            continue
+        now = slice(k, stop)
+        k = stop
+        before = last[start[now]]
+        reached = np.flatnonzero(before != -1)
+        ok = reached[p.compatible(before[reached], piece[now][reached])]
+        last[end[now][ok]], back[end[now][ok]] = piece[now][ok], start[now][ok]
+    if k < len(start):
+        last_, back_, remembered = last.tolist(), back.tolist(), {}
+        for s, e, i in zip(start[k:].tolist(), end[k:].tolist(), piece[k:].tolist(), strict=True):
+            if last_[e] == -1 and (before := last_[s]) != -1:  # one edge into a position holds, so the others needn't be tried
+                key = before << 20 | i
+                if before == -2:
                     ok = True
-                elif (ok := fits.get(before << 20 | i)) is None:
-                    ok = p.compatible(before, i)
+                elif (ok := remembered.get(key)) is None:
+                    ok = remembered[key] = bool(p.bytes[before] or p.bytes[i]) or p.merge(p.text[before] + p.text[i])[0] == [p.text[before], p.text[i]]
                 if ok:
-                    last[e], back[e] = i, s
-        for (u, d), b in zip(part, begin, strict=False):
-            ids, k = [], b + len(d)
-            while k > b:
-                i, s = last[k], back[k]
-                if i == -2:
-                    ids += [p.byte_id[x] for x in text[s:k].tolist()[::-1]]
-                else:
-                    ids.append(i)
-                k = s
-            p.units[u] = array("I", ids[::-1]).tobytes()
-
-
-def _characters_outside(text: np.ndarray, covered: np.ndarray) -> list[tuple[int, int]]:
-    """(start, end) of the characters that are no piece."""
+                    last_[e], back_[e] = i, s
+        last, back = np.array(last_), np.array(back_)
+    # from the ends back to the starts, all units at once
+    at, ends = [], begin + size - 1
+    while len(ends := ends[last[ends] != -2]):
+        at.append(ends)
+        ends = back[ends]
+    at = np.sort(np.concatenate(at)) if at else np.zeros(0, np.int64)
+    ids = last[at].astype("<u4").tobytes()
+    edges = (4 * np.searchsorted(at, np.append(begin, len(text)), "right")).tolist()
+    return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _bytes_outside(text: np.ndarray, covered: np.ndarray) -> np.ndarray:
+    """Where the bytes are of characters that are no piece."""
     heads = np.flatnonzero(((text & 0xC0) != 0x80) & (text != _BREAK[0]))
     lone = heads[~covered[heads]]
     size = np.select([text[lone] < 0x80, text[lone] < 0xE0, text[lone] < 0xF0], [1, 2, 3], 4)
-    return list(zip(lone.tolist(), (lone + size).tolist(), strict=True))
+    return np.repeat(lone - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def units_of(text: str) -> list[str]:
@@ -199,8 +282,13 @@ def encode_texts(p: Pieces, texts: list[str | None]) -> list[bytes]:
     if len(p.units) > REMEMBERED:
         for u in list(p.units)[REMEMBERED // 2 :]:  # the common units came first
             del p.units[u]
-    encode_units(p, sorted({u for s in split for u in s if u not in p.units}))
-    return [b"".join(map(p.units.__getitem__, s)) for s in split]
+    found = encode_units(p, sorted({u for s in split for u in s if u not in p.units}))
+    p.units.update(found)
+    out = [b"".join(map(p.units.__getitem__, s)) for s in split]
+    for u in found:
+        if len(u) > LONG_UNIT:
+            del p.units[u]
+    return out
 
 
 def decode_ids(p: Pieces, ids: bytes | None) -> str:

@@ -1,6 +1,8 @@
 import random
+import time
 from array import array
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -46,6 +48,38 @@ def test_any_ids_decode_alike(ids):
     assert S.decode_ids(S.pieces(PATH), array("I", ids).tobytes()) == m.decode(ids)
 
 
+def test_pairs_fit_as_merging_says():
+    p, rng = S.pieces(PATH), random.Random(8)
+    ids = [i for i in p.searched_id.tolist() if S.SPACE not in p.text[i]]
+    common = [i for i in ids if len(p.text[i]) < 4]
+    pairs = [(rng.choice(pool), rng.choice(pool)) for pool in (ids, common) for _ in range(4000)]
+    words = [p.text[i] for i in rng.sample(ids, 3000)]
+    pairs += [(p.id[w[:k]], p.id[w[k:]]) for w in words for k in range(1, len(w)) if w[:k] in p.id and w[k:] in p.id]
+    got = p.fit(*(np.array(c) for c in zip(*pairs)))
+    want = [p.merge(p.text[a] + p.text[b])[0] == [p.text[a], p.text[b]] for a, b in pairs]
+    stable = set(ids)
+    assert [g for g, pair in zip(got.tolist(), pairs) if stable.issuperset(pair)] == [w for w, pair in zip(want, pairs) if stable.issuperset(pair)]
+
+
+def test_long_runs_take_no_long(library):
+    texts = ["a" + " " * 100_000 + "b", "x" * 100_000, "ab" * 30_000 + "\U0001f600" * 2000, "日" * 20_000, " " * 30_001]
+    began = time.time()
+    got = encode(texts)
+    assert time.time() - began < 30
+    assert got == [library.encode(t) for t in texts]
+    assert not any(len(u) > S.LONG_UNIT for u in S.pieces(PATH).units)
+
+
+@pytest.mark.parametrize("few", [0, 3, 10**9])
+def test_offsets_at_once_or_edge_by_edge(library, monkeypatch, few):
+    monkeypatch.setattr(S, "FEW", few)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("the in ganoé\n日x") for _ in range(rng.randint(1, 80))) for _ in range(200)]
+    units = sorted({u for t in texts for u in S.units_of(t)})
+    made = S.encode_units(S.pieces(PATH), units)
+    assert [list(array("I", b"".join(made[u] for u in S.units_of(t)))) for t in texts] == [library.encode(t) for t in texts]
+
+
 def test_awkward_rows(library, awkward, no_rows):
     both = S.decode_documents(S.encode_documents(awkward))
     rows = both.collect()
