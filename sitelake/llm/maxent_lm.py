@@ -1,29 +1,31 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-Words fall into ``BUCKETS`` buckets: each of the most frequent words has its own, all
-others share ``SHARED`` by hash. Buckets lie in ``CLASSES`` classes of equal size, and
+The ``OWN`` most frequent words are targets of their own; every other word falls, by a hash of its last
+``SUFFIX`` bytes, into one of ``SHARED`` targets. Targets lie in ``CLASSES`` classes of ``MEMBERS``, and
 
-    P(word | history) = P(class | history) * P(bucket | class, history) * P(word | bucket).
+    P(word | history) = P(class | history) * P(target | class, history) * P(word | target).
 
-The first two are softmaxes over features of the history: none (bias), the word before
-(bigram), the word before that (skip) and both (trigram), hashed to rows of two weight
-tables. The last is the word's share of its bucket in the training counts, with 0.1 added
+The first two are softmaxes over features of the two words before, which are told apart likewise,
+as ``HISTORY`` histories: bias, last word (bigram), the word before it (skip), and for classes also both (trigram,
+hashed to ``TRIGRAMS`` rows). The third is the word's share of its target in the training counts, with 0.1 added
 to every known word and to the unknown.
 
-Features see only the buckets of two words, so the counts of (two buckets, bucket) over
-all training documents are all that training needs: they are gathered from
-every training token, and each step of gradient ascent sums the gradient over these
-counts on the executors and updates the weights on the driver (AdaGrad). A step costs
-the same at every corpus size. Scoring gathers from the log probabilities of the
-contexts in numpy batches.
+The gradient is observed minus expected counts. The observed ones are gathered from all training tokens: (last,
+target), (skip, target) and (last, skip, class). The last of them is also all that the expected ones depend on, so a
+step is one job over it, a row per skip word: tasks return expected counts of a fixed size, and the driver
+moves each weight by the logarithm of observed over expected counts, damped and with a penalty. A step costs the same at every
+corpus size.
 
-Exact word counts are one aggregation with local combining. The ``FREQUENT`` most frequent
-words are broadcast (a fixed number); the others of a document are joined to the counts
-by word and summed back, so no word is left out and no word that is joined is hot.
+Scoring: the normalisers of all histories and classes make a table, so a token's score is three gathers in a numpy
+batch over the distinct tables, and sums by text.
+
+Exact word counts are one aggregation with local combining. At most ``FREQUENT`` words, the most frequent, are broadcast:
+a histogram of counts gives the count from which words are that frequent, so nothing is sorted and nothing else is collected. The others
+of a document are joined to the counts by word and summed back, so no word is left out and no word that is joined is hot.
 
 Defined results: a null text is empty and has one token, its end. Rows with a null id teach
 nothing and are not held out. Repeated rows count and are scored each. Without training rows
-every unknown token has base probability 1 and the model is uniform over buckets. An empty
+every unknown token has base probability 1 and the model is uniform over targets. An empty
 table gives no rows. Only the named columns are read.
 """
 
@@ -33,6 +35,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -43,12 +46,15 @@ from pyspark.sql import functions as F
 
 from sitelake.runtime import materialize, ship
 
-CLASSES, MEMBERS, SHARED = 8, 16, 32
-BUCKETS = CLASSES * MEMBERS
-OWN = BUCKETS - SHARED
-CLASS_ROWS, MEMBER_ROWS = 1 << 14, 1 << 15
+CLASSES, MEMBERS, SHARED, SUFFIX = 32, 64, 256, 2
+TARGETS = CLASSES * MEMBERS
+OWN = TARGETS - SHARED
+HISTORY, HISTORY_SHARED = 256, 128
+HISTORY_OWN = HISTORY - HISTORY_SHARED
+TRIGRAMS = 1 << 15
+LAST, SKIP, BOTH = 1, 1 + HISTORY, 1 + 2 * HISTORY  # first rows of the features; row 0 is the bias
 FREQUENT, FLUSH, REMEMBERED = 1 << 17, 200_000, 150_000
-STEPS, RATE, PENALTY = 16, 0.4, 1.0
+STEPS, RATE, PENALTY, DAMP, TASKS = 12, 0.4, 2.0, 1.0, 8
 ADD = 0.1
 END = b""  # the end of a text; no word is empty
 
@@ -67,18 +73,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def feature_rows(ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the class table (n, 4) and of the member table (n, CLASSES, 4) for packed contexts."""
-    ctx = ctx.astype(np.uint64)
-    last, skip = ctx % np.uint64(BUCKETS), ctx // np.uint64(BUCKETS)
-    feats = np.stack([np.uint64(1 << 32) | last, np.uint64(2 << 32) | skip, np.uint64(3 << 32) | ctx], 1)
-    by_class = np.zeros((len(ctx), 4), np.int64)
-    by_class[:, 1:] = 1 + (_mix(feats) % np.uint64(CLASS_ROWS - 1)).astype(np.int64)
-    classes = np.arange(CLASSES, dtype=np.uint64)
-    member = np.zeros((len(ctx), CLASSES, 4), np.int64)
-    member[:, :, 0] = np.arange(CLASSES)
-    member[:, :, 1:] = CLASSES + (_mix(feats[:, None, :] * np.uint64(CLASSES + 1) + classes[None, :, None]) % np.uint64(MEMBER_ROWS - CLASSES)).astype(np.int64)
-    return by_class, member
+def trigram_rows(skip: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return BOTH + (_mix(skip.astype(np.uint64) * np.uint64(HISTORY) + last.astype(np.uint64)) % np.uint64(TRIGRAMS)).astype(np.int64)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -88,56 +84,65 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Weights:
+    """Rows of features (bias, last, skip; by_class: also both) by classes, and by targets."""
+
     by_class: np.ndarray
     member: np.ndarray
 
-    def logs(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Natural logs of P(class | context) and P(member | class, context)."""
-        c, m = feature_rows(ctx)
-        return _log_softmax(self.by_class[c].sum(1)), _log_softmax(self.member[m].sum(2))
-
-    def log10_table(self, ctx: np.ndarray) -> np.ndarray:
-        """log10 P(bucket | context), a row per context."""
-        out = np.zeros((len(ctx), BUCKETS), np.float32)
-        for k in range(0, len(ctx), 2048):
-            c, m = self.logs(ctx[k : k + 2048])
-            out[k : k + 2048] = (c[:, :, None] + m).reshape(-1, BUCKETS) / np.log(10)
-        return out
-
-
-def gradient(w: Weights, ctx: np.ndarray, target: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Of the log likelihood of counted (context, bucket) pairs; additive over any division of them."""
-    gc, gm, likelihood = np.zeros_like(w.by_class), np.zeros_like(w.member), 0.0
-    order = np.argsort(ctx, kind="stable")
-    ctx, target, n = ctx[order], target[order], n[order]
-    unique, begin = np.unique(ctx, return_index=True)
-    begin = np.append(begin, len(ctx))
-    for k in range(0, len(unique), 1024):
-        u = unique[k : k + 1024]
-        a, b = begin[k], begin[min(k + 1024, len(unique))]
-        at = np.searchsorted(u, ctx[a:b]) * BUCKETS + target[a:b]
-        seen = np.bincount(at, weights=n[a:b], minlength=len(u) * BUCKETS).reshape(len(u), CLASSES, MEMBERS)
-        of_class = seen.sum(2)
-        c, m = w.logs(u)
-        rows_c, rows_m = feature_rows(u)
-        miss_c = of_class - of_class.sum(1, keepdims=True) * np.exp(c)
-        miss_m = seen - of_class[:, :, None] * np.exp(m)
-        for f in range(4):
-            np.add.at(gc, rows_c[:, f], miss_c)
-            np.add.at(gm, rows_m[:, :, f], miss_m)
-        likelihood += float((seen * (c[:, :, None] + m)).sum())
-    return gc, gm, likelihood
+    def scores(self, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of all last words after one skip word: (HISTORY, CLASSES) and (HISTORY, CLASSES, MEMBERS)."""
+        last = np.arange(HISTORY)
+        c = self.by_class[0] + self.by_class[LAST:SKIP] + self.by_class[SKIP + skip] + self.by_class[trigram_rows(np.full(HISTORY, skip), last)]
+        m = self.member[0] + self.member[LAST:SKIP] + self.member[SKIP + skip]
+        return c, m.reshape(HISTORY, CLASSES, MEMBERS)
+
+    def logs(self, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """Natural logs of P(class | history) and P(member | class, history) of all last words."""
+        c, m = self.scores(skip)
+        return _log_softmax(c), _log_softmax(m)
+
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 P(target | skip, last) = a[skip, last, class] + b[last, target] + c[skip, target]."""
+        a = np.empty((HISTORY, HISTORY, CLASSES), np.float32)
+        for skip in range(HISTORY):
+            c, m = self.scores(skip)
+            top = m.max(2, keepdims=True)
+            a[skip] = _log_softmax(c) - top[:, :, 0] - np.log(np.exp(m - top).sum(2))
+        ten = np.float32(1 / np.log(10))
+        return a * ten, (self.member[0] + self.member[LAST:SKIP]) * ten, self.member[SKIP:BOTH] * ten
+
+    def log10(self, skip: np.ndarray, last: np.ndarray, target: np.ndarray) -> np.ndarray:
+        a, b, c = (t.ravel() for t in self.tables)
+        history = skip * HISTORY + last
+        return a[history * CLASSES + target // MEMBERS].astype(np.float64) + b[last * TARGETS + target] + c[skip * TARGETS + target]
+
+
+def expected(w: Weights, skip: int, seen: np.ndarray, by_class: np.ndarray, member: np.ndarray) -> float:
+    """Adds to by_class and member the expected counts of all last words after one skip word.
+
+    seen: (HISTORY, CLASSES) counts of the class that follows. Returns the log likelihood of the classes.
+    """
+    c, m = w.logs(skip)
+    of_class = seen.sum(1, keepdims=True) * np.exp(c)
+    of_target = (seen[:, :, None] * np.exp(m)).reshape(HISTORY, TARGETS)
+    for out, e in ((by_class, of_class), (member, of_target)):
+        out[0] += e.sum(0)
+        out[LAST:SKIP] += e
+        out[SKIP + skip] += e.sum(0)
+    np.add.at(by_class, trigram_rows(np.full(HISTORY, skip), np.arange(HISTORY)), of_class)
+    return float((seen * c).sum())
 
 
 @dataclass
 class Vocabulary:
-    """ids: frequent word -> number in order of frequency; the others get len(ids) + shared bucket."""
+    """ids: frequent word -> number in order of frequency; the others get len(ids) + a hash of their suffix."""
 
     ids: dict[bytes, int]
-    bucket: np.ndarray  # of each number
+    target: np.ndarray  # of each number
+    history: np.ndarray  # of each number
     log_count: np.ndarray  # log10(count + 0.1) of each frequent word
-    bucket_log: np.ndarray  # log10 of what a count in the bucket is divided by; 0 and -log_count cancel for own buckets
-    end_bucket: int
+    target_log: np.ndarray  # log10 of what a count in the target is divided by; 0 and -log_count cancel for own targets
 
     def lookup(self) -> dict[bytes, int]:
         first = len(self.ids)
@@ -147,24 +152,27 @@ class Vocabulary:
                 if len(self) > first + REMEMBERED:
                     for w in [w for w, i in self.items() if i >= first]:
                         del self[w]
-                self[word] = i = first + zlib.crc32(word) % SHARED
+                self[word] = i = first + suffix(word)
                 return i
 
         return Numbers(self.ids)
 
 
-def _sequence(vocabulary: Vocabulary, numbers: dict, texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens of the texts, their numbers and buckets, packed contexts, and where each text starts."""
+def suffix(word: bytes) -> int:
+    return zlib.crc32(word[-SUFFIX:]) % SHARED
+
+
+def _sequence(vocabulary: Vocabulary, numbers: dict, texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens of the texts, their numbers and targets, the histories skip and last, and where each text starts."""
     split = [words(t) for t in texts]
     tokens = list(chain.from_iterable(split))
     ids = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
     starts = np.concatenate([[0], np.cumsum([len(s) for s in split])[:-1]]).astype(np.int64)
-    bucket = vocabulary.bucket[ids]
-    end = vocabulary.end_bucket
-    last = np.concatenate([[end], bucket[:-1]])  # a text before ends with its end
-    skip = np.concatenate([[end, end], bucket[:-2]])[: len(bucket)]
+    history, end = vocabulary.history[ids], vocabulary.history[numbers[END]]
+    last = np.concatenate([[end], history[:-1]])  # a text before ends with its end
+    skip = np.concatenate([[end, end], history[:-2]])[: len(ids)]
     skip[starts] = end
-    return tokens, ids, bucket, skip * BUCKETS + last, starts
+    return tokens, ids, vocabulary.target[ids], skip, last, starts
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -186,110 +194,181 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("content").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """(word, n) in order of frequency: all words of the highest counts, FREQUENT at most."""
+    level = F.floor(F.log2("n") * 64)  # few thousand levels at most
+    least, room = None, FREQUENT
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("v")).collect(), reverse=True):
+        room -= r["v"]
+        if room < 0:
+            break
+        least = r["level"]
+    if least is None:
+        return []
+    return sorted(((bytes(r["word"]), r["n"]) for r in counts.filter(level >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
 def make_vocabulary(counts: DataFrame) -> tuple[Vocabulary, int, int, np.ndarray]:
-    """Also the number of training tokens, of different ones, and the tokens of each bucket."""
+    """Also the number of training tokens, of different ones, and the tokens of each target."""
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    frequent = [bytes(r["word"]) for r in top]
-    own = min(OWN, len(frequent))
-    number = {w: i for i, w in enumerate(frequent)}
-    shared = np.array([OWN + zlib.crc32(w) % SHARED for w in frequent[own:]], np.int64)
-    bucket = np.concatenate([np.arange(own), shared, OWN + np.arange(SHARED)]).astype(np.int64)
-    held = np.array([r["n"] for r in top], np.float64)
-    tokens = np.zeros(BUCKETS)
+    top = frequent_words(counts)
+    own, history_own = min(OWN, len(top)), min(HISTORY_OWN, len(top))
+    hashed = np.array([suffix(w) for w, _ in top], np.int64)
+    every = np.arange(SHARED)
+    target = np.concatenate([np.arange(own), OWN + hashed[own:], OWN + every])
+    history = np.concatenate([np.arange(history_own), HISTORY_OWN + hashed[history_own:] % HISTORY_SHARED, HISTORY_OWN + every % HISTORY_SHARED])
+    held = np.array([n for _, n in top], np.float64)
+    tokens, kinds = np.zeros(TARGETS), np.zeros(TARGETS)
     tokens[:own] = held[:own]
-    kinds = np.zeros(BUCKETS)
-    least = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in frequent[:own]], "word binary")), "word", "left_anti")
-    for r in least.groupBy((F.crc32("word") % SHARED).alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+    least = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w, _ in top[:own]], "word binary")), "word", "left_anti")
+    ending = F.when(F.length("word") > SUFFIX, F.substring("word", -SUFFIX, SUFFIX)).otherwise(F.col("word"))
+    for r in least.groupBy((F.crc32(ending) % SHARED).alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         tokens[OWN + r["b"]], kinds[OWN + r["b"]] = r["n"], r["v"]
     divide = np.log10(tokens + ADD * (kinds + 1))
     divide[:OWN] = 0.0
-    end = number.get(END, 0)
-    return Vocabulary(number, bucket, np.log10(held + ADD), divide, int(bucket[end])), int(n), int(v), tokens
+    return Vocabulary({w: i for i, (w, _) in enumerate(top)}, target, history, np.log10(held + ADD), divide), int(n), int(v), tokens
+
 
+#: Cells of the observed counts: (last, target), (skip, target), (skip, last, class).
+_BY_LAST, _BY_SKIP, _BY_BOTH = HISTORY * TARGETS, HISTORY * TARGETS, HISTORY * HISTORY * CLASSES
 
-def context_counts(docs: DataFrame, vocabulary) -> DataFrame:
-    """ctx, target, n: how often a bucket follows two buckets, over the column content of docs."""
+
+def observed_counts(docs: DataFrame, vocabulary) -> DataFrame:
+    """cell, n over the column content of docs; a cell of no count has no row."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary.value
-        numbers, cells = vocab.lookup(), np.zeros(BUCKETS**3, np.int64)
+        numbers, cells = vocab.lookup(), np.zeros(_BY_LAST + _BY_SKIP + _BY_BOTH, np.int32)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
-                _, _, bucket, ctx, _ = _sequence(vocab, numbers, batch.column(0).slice(k, 512).to_pylist())
-                at, n = np.unique(ctx * BUCKETS + bucket, return_counts=True)
-                cells[at] += n
+                _, _, target, skip, last, _ = _sequence(vocab, numbers, batch.column(0).slice(k, 512).to_pylist())
+                for at in (last * TARGETS + target, _BY_LAST + skip * TARGETS + target, _BY_LAST + _BY_SKIP + (skip * HISTORY + last) * CLASSES + target // MEMBERS):
+                    at, n = np.unique(at, return_counts=True)
+                    cells[at] += n.astype(np.int32)
         at = np.flatnonzero(cells)
         for k in range(0, len(at), 1 << 17):
             part = at[k : k + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(cells[part])], ["cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(cells[part].astype(np.int64))], ["cell", "n"])
+
+    return docs.select("content").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
 
-    summed = docs.select("content").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    return summed.select((F.floor(F.col("cell") / BUCKETS)).cast("int").alias("ctx"), (F.col("cell") % BUCKETS).alias("target"), "n")
+def observed(counts: DataFrame) -> np.ndarray:
+    """All cells; their number is fixed."""
+    cells = np.zeros(_BY_LAST + _BY_SKIP + _BY_BOTH)
+    packed = counts.select("cell", "n").coalesce(TASKS)
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().tobytes()]), pa.array([b.column(1).to_numpy().tobytes()])], ["cell", "n"])
 
-def train(stats: DataFrame, tokens: np.ndarray, steps: int = STEPS, rate: float = RATE) -> tuple[Weights, list[float]]:
-    """Weights, and the mean log likelihood before each step."""
-    spark = stats.sparkSession
+    for r in packed.mapInArrow(pack, "cell binary, n binary").toLocalIterator():
+        cells[np.frombuffer(r["cell"], np.int32)] = np.frombuffer(r["n"], np.int64)
+    return cells
+
+
+def train(spark, cells: np.ndarray, tokens: np.ndarray, steps: int = STEPS, rate: float = RATE) -> tuple[Weights, list[float]]:
+    """Weights, and the mean log likelihood of the classes before each step."""
     prior = np.log(tokens + 0.5).reshape(CLASSES, MEMBERS)
-    w = Weights(np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((MEMBER_ROWS, MEMBERS), np.float32))
+    w = Weights(np.zeros((BOTH + TRIGRAMS, CLASSES), np.float32), np.zeros((BOTH, TARGETS), np.float32))
     w.by_class[0] = np.log(np.exp(prior).sum(1))
-    w.member[:CLASSES] = prior
-    squares = [np.full_like(w.by_class, 1e-8), np.full_like(w.member, 1e-8)]
+    w.member[0] = prior.ravel()
+    by_last = cells[:_BY_LAST].reshape(HISTORY, TARGETS)
+    by_skip = cells[_BY_LAST : _BY_LAST + _BY_SKIP].reshape(HISTORY, TARGETS)
+    seen = cells[_BY_LAST + _BY_SKIP :].reshape(HISTORY, HISTORY, CLASSES)
+    member = np.concatenate([by_last.sum(0)[None], by_last, by_skip])
+    by_class = np.concatenate([member.reshape(BOTH, CLASSES, MEMBERS).sum(2), np.zeros((TRIGRAMS, CLASSES))])
+    for skip in range(HISTORY):
+        np.add.at(by_class, trigram_rows(np.full(HISTORY, skip), np.arange(HISTORY)), seen[skip])
+    used = [k for k in range(HISTORY) if seen[k].any()]
+    given = pa.table([pa.array(used, pa.int32()), pa.array([seen[k].astype(np.float32).tobytes() for k in used], pa.binary())], ["skip", "seen"])
+    rows = materialize(spark.createDataFrame(given).repartition(TASKS), "lm_histories")
     total, past = max(float(tokens.sum()), 1.0), []
-    for _ in range(steps):
+    for _ in range(steps if used else 0):
         shared = spark.sparkContext.broadcast(w)
 
         def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
-            if parts:
-                gc, gm, ll = gradient(shared.value, *(np.concatenate(c) for c in zip(*parts, strict=True)))
-                yield pa.RecordBatch.from_arrays([pa.array([gc.tobytes()]), pa.array([gm.tobytes()]), pa.array([ll])], ["gc", "gm", "ll"])
-
-        gc, gm, ll = np.zeros(w.by_class.shape), np.zeros(w.member.shape), 0.0
-        for r in stats.mapInArrow(step, "gc binary, gm binary, ll double").toLocalIterator():
-            gc += np.frombuffer(r["gc"], np.float32).reshape(gc.shape)
-            gm += np.frombuffer(r["gm"], np.float32).reshape(gm.shape)
-            ll += r["ll"]
+            w, likelihood = shared.value, 0.0
+            by_class, member = np.zeros_like(w.by_class), np.zeros_like(w.member)
+            for b in batches:
+                for skip, counted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    likelihood += expected(w, skip, np.frombuffer(counted, np.float32).reshape(HISTORY, CLASSES), by_class, member)
+            for name, table in (("c", by_class), ("m", member)):  # rows of histories that the task has not met stay out
+                at = np.flatnonzero(table.any(1))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at.astype(np.int32).tobytes()]), pa.array([table[at].tobytes()]), pa.array([likelihood if name == "c" else 0.0])], ["name", "at", "counts", "ll"])
+
+        of_class, of_target, ll = np.zeros_like(w.by_class), np.zeros_like(w.member), 0.0
+        made = rows.coalesce(TASKS).mapInArrow(step, "name string, at binary, counts binary, ll double").toArrow()  # two rows a task
+        for name, at, counted, part in zip(*(c.to_pylist() for c in made.columns), strict=True):
+            table = of_class if name == "c" else of_target
+            table[np.frombuffer(at, np.int32)] += np.frombuffer(counted, np.float32).reshape(-1, table.shape[1])
+            ll += part
+        del made
         shared.unpersist()
         past.append(ll / total)
-        for weights, g, sq, fixed in ((w.by_class, gc, squares[0], 1), (w.member, gm, squares[1], CLASSES)):
-            g[fixed:] -= PENALTY * weights[fixed:]
-            g /= total
-            sq += g * g
-            weights += rate * g / np.sqrt(sq)
+        w = Weights(w.by_class.copy(), w.member.copy())
+        for weights, have, want in ((w.by_class, of_class, by_class), (w.member, of_target, member)):
+            have[1:] += PENALTY * weights[1:]
+            weights += rate * np.log((want + DAMP) / (np.maximum(have, 0) + DAMP))
     return w, past
 
 
+@dataclass
+class Model:
+    """vocabulary, weights; tokens of training and different ones among them."""
+
+    vocabulary: Vocabulary
+    weights: Weights
+    n: int
+    v: int
+
+    @property
+    def whole(self) -> float:
+        """log10 of what a count is divided by in the base."""
+        return float(np.log10(self.n + ADD * (self.v + 1)))
+
+    @cached_property
+    def inside(self) -> np.ndarray:
+        """log10 P(word | target) of each number, but for the count of a word that isn't frequent."""
+        vocab = self.vocabulary
+        counts = np.concatenate([vocab.log_count, np.zeros(SHARED)])
+        return np.where(vocab.target >= OWN, counts, 0.0) - vocab.target_log[vocab.target]
+
+
+def learn(docs: DataFrame, steps: int = STEPS) -> tuple[Model, DataFrame]:
+    """The model of the column content of docs, and its word counts."""
+    spark = docs.sparkSession
+    counts = materialize(word_counts(docs), "lm_counts")
+    vocabulary, n, v, tokens = make_vocabulary(counts)
+    shared = spark.sparkContext.broadcast(vocabulary)
+    cells = observed(materialize(observed_counts(docs, shared), "lm_observed"))
+    weights, _ = train(spark, cells, tokens, steps)
+    return Model(vocabulary, weights, n, v), counts
+
+
 def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row, learning from the rows where training holds."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("content"), F.coalesce(training, F.lit(False)).alias("training"))
-    learn = rows.filter("training")
-    counts = materialize(word_counts(learn), "lm_counts")
-    vocabulary, n, v, tokens = make_vocabulary(counts)
-    shared = spark.sparkContext.broadcast(vocabulary)
-    stats = materialize(context_counts(learn, shared).repartitionByRange("ctx").coalesce(8), "lm_contexts")
-    weights, _ = train(stats, tokens, steps)
-    model = spark.sparkContext.broadcast(weights)
-    whole = float(np.log10(n + ADD * (v + 1)))
+    model, counts = learn(rows.filter("training"), steps)
+    shared = spark.sparkContext.broadcast(model)
+    n = model.n
     fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.binary()))]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = shared.value
+        model = shared.value
+        vocab = model.vocabulary
         numbers, first, context = vocab.lookup(), len(vocab.ids), TaskContext.get()
-        table = model.value.log10_table(np.arange(BUCKETS**2))
         log_count = np.concatenate([vocab.log_count, np.zeros(SHARED)])
-        inside = np.where(vocab.bucket >= OWN, log_count, 0.0) - vocab.bucket_log[vocab.bucket]
         row = (context.partitionId() if context else 0) << 36
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                words_, ids, bucket, ctx, starts = _sequence(vocab, numbers, part.column(1).to_pylist())
+                words_, ids, target, skip, last, starts = _sequence(vocab, numbers, part.column(1).to_pylist())
                 ends = np.append(starts[1:], len(ids))
-                base = np.add.reduceat(log_count[ids], starts) - (ends - starts) * whole
-                total = np.add.reduceat(table[ctx, bucket].astype(np.float64) + inside[ids], starts)
+                base = np.add.reduceat(log_count[ids], starts) - (ends - starts) * model.whole
+                total = np.add.reduceat(model.weights.log10(skip, last, target) + model.inside[ids], starts)
                 rare = np.flatnonzero(ids >= first)
                 offsets = np.searchsorted(rare, np.append(starts, len(ids))).astype(np.int32)
                 known = (ends - starts) - np.diff(offsets)

@@ -1,5 +1,6 @@
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -29,28 +30,82 @@ def check(rows, docs, train):
         assert r.score < 1e-6
 
 
-def test_probabilities_of_a_context_add_up():
-    w = M.Weights(np.random.default_rng(0).normal(size=(M.CLASS_ROWS, M.CLASSES)).astype(np.float32), np.random.default_rng(1).normal(size=(M.MEMBER_ROWS, M.MEMBERS)).astype(np.float32))
-    assert np.allclose((10.0 ** w.log10_table(np.arange(500))).sum(1), 1, atol=1e-4)
-
-
-def test_gradient_is_the_slope():
-    rng = np.random.default_rng(2)
-    w = M.Weights(rng.normal(size=(M.CLASS_ROWS, M.CLASSES)), rng.normal(size=(M.MEMBER_ROWS, M.MEMBERS)))
-    ctx, target, n = rng.integers(0, 50, 300), rng.integers(0, M.BUCKETS, 300), rng.integers(1, 9, 300)
-    gc, gm, _ = M.gradient(w, ctx, target, n)
-    for table, g in ((w.by_class, gc), (w.member, gm)):
-        for at in zip(*np.nonzero(np.abs(g) > 0.5)):
-            table[at] += 1e-5
-            up = M.gradient(w, ctx, target, n)[2]
-            table[at] -= 2e-5
-            down = M.gradient(w, ctx, target, n)[2]
-            table[at] += 1e-5
-            assert abs((up - down) / 2e-5 - g[at]) < 1e-3 * max(1, abs(g[at]))
-            break
-    # additive over any division of the counts
-    a, b = M.gradient(w, ctx[:100], target[:100], n[:100]), M.gradient(w, ctx[100:], target[100:], n[100:])
-    assert np.allclose(a[0] + b[0], gc) and np.allclose(a[1] + b[1], gm)
+def random_weights(seed):
+    rng = np.random.default_rng(seed)
+    return M.Weights(rng.normal(size=(M.BOTH + M.TRIGRAMS, M.CLASSES)), rng.normal(size=(M.BOTH, M.TARGETS)))
+
+
+def slow_logs(w, skip, last):
+    """Natural logs of P(target | skip, last), from the definition."""
+    rows = [0, M.LAST + last, M.SKIP + skip]
+    c = sum(w.by_class[r] for r in [*rows, int(M.trigram_rows(np.array([skip]), np.array([last]))[0])]).astype(float)
+    m = sum(w.member[r] for r in rows).astype(float).reshape(M.CLASSES, M.MEMBERS)
+    return ((c - np.log(np.exp(c).sum()))[:, None] + m - np.log(np.exp(m).sum(1, keepdims=True))).ravel()
+
+
+def test_tables_give_the_softmax_of_the_features():
+    w, rng = random_weights(0), np.random.default_rng(1)
+    skip, last = rng.integers(0, M.HISTORY, 40), rng.integers(0, M.HISTORY, 40)
+    for s, l in zip(skip, last):
+        got = w.log10(np.full(M.TARGETS, s), np.full(M.TARGETS, l), np.arange(M.TARGETS)) * np.log(10)
+        assert np.allclose(got, slow_logs(w, s, l), atol=1e-4)
+        assert abs(np.exp(got).sum() - 1) < 1e-4
+
+
+def test_observed_minus_expected_is_the_slope():
+    w, rng = random_weights(2), np.random.default_rng(3)
+    skip, last, target = rng.integers(0, 3, 300), rng.integers(0, 4, 300), rng.integers(0, M.TARGETS, 300)
+    likelihood = lambda: sum(slow_logs(w, s, l)[t] for s, l, t in zip(skip, last, target))
+    seen = np.zeros((M.HISTORY, M.HISTORY, M.CLASSES))
+    np.add.at(seen, (skip, last, target // M.MEMBERS), 1)
+    by_class, member = np.zeros(w.by_class.shape), np.zeros(w.member.shape)
+    for s in range(3):
+        M.expected(w, s, seen[s], by_class, member)
+    both = M.trigram_rows(skip, last)
+    for rows in (np.zeros(300, int), M.LAST + last, M.SKIP + skip, both):
+        np.add.at(by_class, (rows, target // M.MEMBERS), -1)
+        if rows is not both:
+            np.add.at(member, (rows, target), -1)
+    for table, g in ((w.by_class, -by_class), (w.member, -member)):
+        for row in (0, M.LAST + 2, M.SKIP + 1, *([int(both[0])] if table is w.by_class else [])):
+            column = int(np.abs(g[row]).argmax())
+            table[row, column] += 1e-4
+            up = likelihood()
+            table[row, column] -= 2e-4
+            down = likelihood()
+            table[row, column] += 1e-4
+            assert abs((up - down) / 2e-4 - g[row, column]) < 1e-3 * max(1, abs(g[row, column]))
+
+
+def test_scores_equal_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) < 3000").limit(50).cache()
+    train = F.col("doc_id") % 3 != 0
+    rows = {r.doc_id: r.score for r in M.score_documents(docs, train, steps=3).collect()}
+    model, counts = M.learn(docs.filter(train).select(F.col("text").cast("binary").alias("content")), steps=3)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    c = Counter(t for d, x in texts.items() if d % 3 for t in tokens(x))
+    assert {bytes(r.word): r.n for r in counts.collect()} == c
+    order = sorted(c, key=lambda t: (-c[t], t))
+    own, near = {t: i for i, t in enumerate(order[: M.OWN])}, {t: i for i, t in enumerate(order[: M.HISTORY_OWN])}
+    ending = lambda t: zlib.crc32(t[-2:]) % M.SHARED
+    target = lambda t: own.get(t, M.OWN + ending(t))
+    history = lambda t: near.get(t, M.HISTORY_OWN + ending(t) % M.HISTORY_SHARED)
+    held, kinds = Counter(), Counter()
+    for t, n in c.items():
+        held[target(t)] += n
+        kinds[target(t)] += 1
+    logs = {}
+    for d, x in texts.items():
+        total, before = 0.0, [b"", b""]
+        for t in tokens(x):
+            h = tuple(history(b) for b in before[-2:])
+            if h not in logs:
+                logs[h] = slow_logs(model.weights, *h)
+            total += logs[h][target(t)] / math.log(10)
+            if t not in own:
+                total += math.log10((c[t] + 0.1) / (held[target(t)] + 0.1 * (kinds[target(t)] + 1)))
+            before.append(t)
+        assert abs(rows[d] - total) < 1e-4 * max(1, abs(total))
 
 
 def test_words_beyond_the_broadcast_are_joined(spark, sf_dir, monkeypatch):
@@ -73,3 +128,20 @@ def test_awkward_rows(awkward, no_rows):
 def test_the_model_beats_the_base_on_held_out_documents(spark, sf_dir):
     out = op6_lm_scores(spark, sf_dir).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.count("*")).first()
     assert out[2] > 0 and out[0] > out[1]
+
+
+def test_each_step_raises_the_likelihood(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("text").cast("binary").alias("content"))
+    counts = M.word_counts(docs)
+    vocabulary, _, _, held = M.make_vocabulary(counts)
+    cells = M.observed(M.observed_counts(docs, spark.sparkContext.broadcast(vocabulary)))
+    assert cells[: M._BY_LAST].sum() == cells[M._BY_LAST + M._BY_SKIP :].sum() == held.sum()
+    _, past = M.train(spark, cells, held, steps=6)
+    assert all(b > a for a, b in zip(past, past[1:], strict=False))
+
+
+def test_the_broadcast_words_are_the_most_frequent(spark, monkeypatch):
+    monkeypatch.setattr(M, "FREQUENT", 5)
+    counts = spark.createDataFrame([(bytes([97 + i]), n) for i, n in enumerate([100, 7, 7, 7, 50, 1, 1, 1, 3])], "word binary, n long")
+    assert M.frequent_words(counts) == [(b"a", 100), (b"e", 50), (b"b", 7), (b"c", 7), (b"d", 7)]
+    assert M.frequent_words(counts.filter("n = 1").union(counts.filter("n = 1"))) == []
