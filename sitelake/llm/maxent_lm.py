@@ -205,7 +205,8 @@ def frequent_words(counts: DataFrame) -> list[tuple[bytes, int]]:
         least = r["level"]
     if least is None:
         return []
-    return sorted(((bytes(r["word"]), r["n"]) for r in counts.filter(level >= least).collect()), key=lambda x: (-x[1], x[0]))
+    found = counts.filter(level >= least).select("word", "n").toArrow()
+    return sorted(zip(*(c.to_pylist() for c in found.columns), strict=True), key=lambda x: (-x[1], x[0]))
 
 
 def make_vocabulary(counts: DataFrame) -> tuple[Vocabulary, int, int, np.ndarray]:
@@ -304,7 +305,7 @@ def train(spark, cells: np.ndarray, tokens: np.ndarray, steps: int = STEPS, rate
             table[np.frombuffer(at, np.int32)] += np.frombuffer(counted, np.float32).reshape(-1, table.shape[1])
             ll += part
         del made
-        shared.unpersist()
+        shared.destroy()
         past.append(ll / total)
         w = Weights(w.by_class.copy(), w.member.copy())
         for weights, have, want in ((w.by_class, of_class, by_class), (w.member, of_target, member)):
