@@ -21,7 +21,7 @@ within the radius adds its nearest codes beyond, so no query runs short.
 
 Defined results: null or zero vectors, vectors with a null or non-finite component or of
 another dimension than most, and rows without an id take no part. Rows that repeat an id
-are one. Ties in score go to the smaller id. An empty table gives no rows; only
+are one, with the least of their vectors. Ties in score go to the smaller id. An empty table gives no rows; only
 the two named columns are read.
 """
 
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelake.runtime import ship
+from sitelake.runtime import materialize, ship
 
 K, STARTS, SAMPLE, TARGET = 20, 2, 8192, 0.975
 ROW_BLOCK, QUERY_BLOCK = 8192, 4096
@@ -162,14 +162,16 @@ def nearest(rows: DataFrame, is_query: Callable[[Column], Column], k: int = K, i
     empty = "query_id long, rank int, vec_id long, score double"
     vectors = valid_vectors(rows, id_col, vec_col)
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v))
-    kinds = vectors.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("top"), F.count_if(is_query(F.col("vec_id"))).alias("q")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
+    kinds = vectors.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("top")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
     if not kinds:
         return spark.createDataFrame([], empty)
-    d, n, top, q = kinds[0]
-    vectors = vectors.filter(F.size("vec") == d)
-    # the rows of lowest hash: a bounded sample that does not depend on how the table is laid out
-    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    codes = learn_codes(np.array([r["vec"] for r in chosen]), top, n, k, starts, target)
+    d, _, top = kinds[0]
+    vectors = materialize(vectors.filter(F.size("vec") == d).groupBy("vec_id").agg(F.min("vec").alias("vec")), "nearest_vectors")
+    n, q = vectors.agg(F.count(F.lit(1)), F.count_if(is_query(F.col("vec_id")))).first()
+    # the ids of lowest hash: about as many as the sample asks for at any size of the table, however it is laid out
+    share = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < math.ceil(min(1.0, sample / n) * (1 << 30))
+    chosen = vectors.filter(share).select("vec_id", "vec").toArrow().sort_by("vec_id")
+    codes = learn_codes(_vectors(chosen.column("vec")), top, n, k, starts, target)
     shared = spark.sparkContext.broadcast(codes)
     row_blocks, query_blocks = math.ceil(n / row_block), max(1, math.ceil(q / query_block))
     block = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
@@ -181,9 +183,7 @@ def nearest(rows: DataFrame, is_query: Callable[[Column], Column], k: int = K, i
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not a.num_rows or not b.num_rows:
             return schema.empty_table()
-        ids, first = np.unique(a.column("vec_id").to_numpy(), return_index=True)
-        query_ids, first_q = np.unique(b.column("vec_id").to_numpy(), return_index=True)
-        found = search_block(shared.value, ids, _vectors(a.column("vec"))[first], query_ids, _vectors(b.column("vec"))[first_q], k)
+        found = search_block(shared.value, a.column("vec_id").to_numpy(), _vectors(a.column("vec")), b.column("vec_id").to_numpy(), _vectors(b.column("vec")), k)
         return pa.table([pa.array(c) for c in found], schema=schema)
 
     found = index.groupBy("qb", "rb").cogroup(asked.groupBy("qb", "rb")).applyInArrow(search, "query_id long, vec_id long, score double")

@@ -61,6 +61,13 @@ def test_awkward_rows(spark):
     assert H.nearest(frame(spark, []), lambda c: c % 20 == 0).count() == 0
 
 
+def test_ids_that_repeat_take_their_least_vector(spark):
+    rows = [(0, [1.0, 1.0], "s", "v"), (1, [3.0, 0.0], "s", "v"), (1, [2.0, 5.0], "s", "v"), (2, [1.0, 0.5], "s", "v"), *[(3, [9.0, -9.0 - i], "s", "v") for i in range(50)]]
+    for parts in (1, 7):
+        got = [(r.vec_id, r.score) for r in H.nearest(frame(spark, rows).repartition(parts), lambda c: c % 20 == 0).orderBy("rank").collect()]
+        assert got == [(1, 7.0), (2, 1.5), (3, 9.0 - 58.0)]
+
+
 def test_recall_on_the_table(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     want = brute([(r.vec_id, r.embedding) for r in df.collect()])
