@@ -37,10 +37,10 @@ def test_random_lengths_pack_close_to_the_bound():
 
 def test_plain_characters_encode_alike():
     quick, full = P.encoder(PATH), Tokenizer.from_file(PATH)
-    plain = [chr(c) for c in [*range(0x370), *range(0x2010, 0x2028), 0x20AC] if not P._PLAIN.search(chr(c))]
+    plain = [chr(c) for c in [*range(0x370), *range(0x2010, 0x2028), 0x20AC] if not P._OTHER.search(chr(c))]
     texts = ["".join(f"a{c}b {c}{c} 1{c}" for c in plain[k : k + 40]) for k in range(0, len(plain), 40)]
     texts += ["".join(random.Random(k).choice(plain) for _ in range(60)) for k in range(300)]
-    texts += ["x  y", " \n\n z", "tab\t\tq ", "<|endoftext|>", "a<|endoftext|> b", "", "日本語", "'S 's I'll", "a" * 5000]
+    texts += ["x  y", " \n\n z", "tab\t\tq ", "<|endoftext|>", "a<|endoftext|> b", "", "日本語", "'S 's I'll", "a" * 200_000, " " * 200_000 + "x", "a" + "\n" * 200_000, " " * 255 + "x", "word and " * 30_000]
     for t in texts:
         assert list(quick(t)) == full.encode(t, add_special_tokens=False).ids, t
 
@@ -76,7 +76,16 @@ def test_every_document_of_the_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = P.pack_documents(docs).collect()
     check(rows, [(r.doc_id, r.text) for r in docs.collect()])
-    assert len({r.sequence_id for r in rows}) <= 1.02 * sum(r.length for r in rows) / 1024 + docs.rdd.getNumPartitions()
+    bound = -(-sum(r.length for r in rows) // 1024)
+    assert len({r.sequence_id for r in rows}) <= 1.01 * bound + 1
+
+
+def test_many_small_parts_waste_nothing(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(64)
+    rows = P.pack_documents(docs).collect()
+    check(rows, [(r.doc_id, r.text) for r in docs.collect()])
+    bound = -(-sum(r.length for r in rows) // 1024)
+    assert len({r.sequence_id for r in rows}) <= 1.01 * bound + 1
 
 
 def test_gaps_wait_for_short_documents_of_a_later_block(spark):
