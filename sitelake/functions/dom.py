@@ -8,6 +8,7 @@ paragraph, and end tags without a start being ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -40,11 +41,6 @@ class Node:
             child.parent = self
         self.children.append(child)
 
-    def remove(self) -> None:
-        if self.parent is not None:
-            self.parent.children = [c for c in self.parent.children if c is not self]
-            self.parent = None
-
     def elements(self) -> Iterator[Node]:
         """All below in document order."""
         stack = [c for c in reversed(self.children) if isinstance(c, Node)]
@@ -67,15 +63,12 @@ class Node:
     def classes(self) -> list[str]:
         return self.attrs.get("class", "").split()
 
-    def next_element(self) -> Node | None:
-        if self.parent is None:
-            return None
-        after = False
-        for c in self.parent.children:
-            if after and isinstance(c, Node) and c.tag != "#comment":
-                return c
-            after = after or c is self
-        return None
+
+def drop(root: Node, gone: set[int]) -> None:
+    """Takes the nodes of those ids out, in one walk."""
+    if gone:
+        for n in [root, *root.elements()]:
+            n.children = [c for c in n.children if id(c) not in gone]
 
 
 class _Builder(HTMLParser):
@@ -83,14 +76,22 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#document")
         self.open = [self.root]
+        self.within: Counter = Counter()  # of the open tags
+        self.once: set[str] = set()
+
+    def _push(self, node: Node) -> None:
+        self.open.append(node)
+        self.within[node.tag] += 1
 
     def _pop_to(self, k: int) -> list[Node]:
-        gone, self.open = self.open[k:], self.open[:k]
+        gone = self.open[k:]
+        del self.open[k:]
+        self.within.subtract(n.tag for n in gone)
         return gone
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         again: list[Node] = []
-        if tag in BLOCK:
+        if tag in BLOCK and self.within["p"]:
             for k in range(len(self.open) - 1, 0, -1):
                 if self.open[k].tag == "p":
                     again = [n for n in self._pop_to(k) if n.tag in FORMATTING]
@@ -104,21 +105,25 @@ class _Builder(HTMLParser):
                     break
                 if self.open[k].tag in closes:
                     self._pop_to(k)
-        if tag in ("html", "body", "head") and any(n.tag == tag for n in self.root.elements()):
-            return
+        if tag in ("html", "body", "head"):
+            if tag in self.once:
+                return
+            self.once.add(tag)
         node = Node(tag, {k: v or "" for k, v in reversed(attrs)})
         self.open[-1].append(node)
         if tag not in VOID:
-            self.open.append(node)
+            self._push(node)
             for n in again:
                 copy = Node(n.tag, n.attrs)
                 self.open[-1].append(copy)
-                self.open.append(copy)
+                self._push(copy)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.within[tag]:
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
                 self._pop_to(k)
@@ -174,27 +179,32 @@ def is_clutter(n: Node) -> bool:
 
 
 def clean(root: Node) -> None:
-    """Clutter goes, then elements without children and text (looked at from the top, once), then attributes."""
-    for n in list(root.elements()):
-        if is_clutter(n):
-            n.remove()
-    for n in list(root.elements()):
-        if n.tag not in fixed.KEEP_EMPTY and not any(isinstance(c, Node) and c.tag != "#comment" for c in n.children) and not n.text().strip():
-            n.remove()
+    """Clutter goes, then elements without children and text (looked at before any of them goes), then attributes."""
+    drop(root, {id(n) for n in root.elements() if is_clutter(n)})
+    empty = lambda n: not any(isinstance(c, Node) and c.tag != "#comment" for c in n.children) and not n.text().strip()
+    drop(root, {id(n) for n in root.elements() if n.tag not in fixed.KEEP_EMPTY and empty(n)})
     for n in root.elements():
         n.attrs = {k: v for k, v in n.attrs.items() if not (k.startswith("data-") and k not in fixed.KEEP_DATA) and not k.startswith("on") and k != "style"}
 
 
 def preserve_code(root: Node) -> None:
     """Code is made plain before anything is removed: inline code merged, pre blocks one code element each."""
-    for n in list(root.elements()):
-        if n.tag == "code" and n.attrs.get("data-md") == "skip":
-            n.remove()
-    for n in list(root.elements()):
-        if n.tag == "code" and n.parent is not None and n.parent.tag != "pre":
-            while (after := n.next_element()) is not None and after.tag == "code":
-                n.append(after.text())
-                after.remove()
+    drop(root, {id(n) for n in root.elements() if n.tag == "code" and n.attrs.get("data-md") == "skip"})
+    gone: set[int] = set()
+    for n in [root, *root.elements()]:
+        if n.tag == "pre" or id(n) in gone:
+            continue
+        into = None  # the code element that those right after it are merged into
+        for c in n.children:
+            if isinstance(c, Node) and c.tag != "#comment":
+                if c.tag != "code":
+                    into = None
+                elif into is None:
+                    into = c
+                else:
+                    into.append(c.text())
+                    gone.add(id(c))
+    drop(root, gone)
     for n in list(root.elements()):
         if n.tag != "pre":
             continue
@@ -209,6 +219,31 @@ def preserve_code(root: Node) -> None:
         n.attrs.pop("data-highlighted", None)
 
 
+class Layout:
+    """Elements in document order with the range of those below each, and the text with each one's range."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes: list[Node] = []
+        begin, below, parts, at = [], {}, [], 0
+        stack: list[Node | str | tuple[int, int]] = list(reversed(root.children))
+        while stack:
+            c = stack.pop()
+            if isinstance(c, str):
+                parts.append(c)
+                at += len(c)
+            elif isinstance(c, tuple):
+                below[c[0]] = (len(self.nodes), at)
+            elif c.tag != "#comment":
+                begin.append(at)
+                stack.append((len(self.nodes), 0))
+                self.nodes.append(c)
+                stack += reversed(c.children)
+        self.text = "".join(parts)
+        self.start = begin
+        self.after = [below[k][0] for k in range(len(begin))]
+        self.stop = [below[k][1] for k in range(len(begin))]
+
+
 def main_content(root: Node) -> Node | None:
     for kind, value in fixed.MAIN_CONTENT:
         n = first(root, kind, value)
@@ -221,10 +256,13 @@ def densest(root: Node) -> Node | None:
     """The container whose own paragraphs hold most text outside links; None if its text is no longer than 100."""
     score: dict[int, float] = {}
     nodes: dict[int, Node] = {}
-    for n in root.elements():
+    at_ = Layout(root)
+    linked = [0]
+    for k, n in enumerate(at_.nodes):
+        linked.append(linked[-1] + (at_.stop[k] - at_.start[k] if n.tag == "a" else 0))
+    for k, n in enumerate(at_.nodes):
         if n.tag in ("p", "pre", "blockquote", "td", "li", "h2", "h3") or (n.tag == "div" and not any(isinstance(c, Node) and c.tag in BLOCK for c in n.children)):
-            linked = sum(len(a.text()) for a in n.elements() if a.tag == "a")
-            gain, at = len(n.text().strip()) - 2.0 * linked, n.parent
+            gain, at = len(at_.text[at_.start[k] : at_.stop[k]].strip()) - 2.0 * (linked[at_.after[k]] - linked[k + 1]), n.parent
             for share in (1.0, 0.5):
                 if at is None or at.tag == "#document":
                     break

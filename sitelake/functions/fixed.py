@@ -112,6 +112,17 @@ REFERENCES = [
     ("class", "bibliography"), ("id*", "references"),
 ]
 
+# Marks of the language of a code block, the first language that fits: something of each list, and of the last.
+# (JSON must also be JSON.)
+CODE_MARKS = [
+    ("jsx", [["import"], ["React", "<"]], ["React", "/>"]),
+    ("typescript", [[": "]], ["interface", "type ", "as ", ": string", ": number"]),
+    ("javascript", [], ["import ", "export ", "=>", "const ", "let "]),
+    ("json", [], [":", ","]),
+    ("bash", [], ["#!/bin/", "npm ", "yarn ", "bun ", "$ "]),
+]
+CODE_DEFAULT = "javascript"
+
 # Progress milestones and the marker of a cut text.
 MILESTONES = [10, 25, 50, 75, 100, 150, 200, 300, 500]
 TRUNCATED = "\n\n[Content truncated...]"

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 
+from sitelake.functions import fixed
 from sitelake.functions.dom import BLOCK, Node, parse
 
 _SKIP = {"script", "style", "noscript", "template", "head", "title", "#comment"}
@@ -22,18 +24,10 @@ def strict_json(text: str) -> bool:
 
 
 def infer_language(code: str) -> str:
-    has = lambda *xs: any(x in code for x in xs)
-    if "import" in code and ("React" in code or ("<" in code and "/>" in code)):
-        return "jsx"
-    if ": " in code and has("interface", "type ", "as ", ": string", ": number"):
-        return "typescript"
-    if has("import ", "export ", "=>", "const ", "let "):
-        return "javascript"
-    if code.strip()[:1] in ("{", "[") and has(":", ",") and strict_json(code):
-        return "json"
-    if has("#!/bin/", "npm ", "yarn ", "bun ", "$ "):
-        return "bash"
-    return "javascript"
+    for language, all_of, any_of in fixed.CODE_MARKS:
+        if all(any(x in code for x in xs) for xs in (*all_of, any_of)) and (language != "json" or (code.strip()[:1] in ("{", "[") and strict_json(code))):
+            return language
+    return fixed.CODE_DEFAULT
 
 
 def _squeeze(x: str) -> str:
@@ -59,7 +53,7 @@ def inline(n: Node | str) -> str:
         text = _squeeze(n.text())
         ticks = _fence(text, 1)
         return f"{ticks}{text}{ticks}" if text.strip() else ""
-    inner = "".join(inline(c) for c in n.children)
+    inner = "".join([inline(c) for c in n.children])
     mark = {"em": "*", "i": "*", "strong": "**", "b": "**", "del": "~~", "s": "~~", "strike": "~~"}.get(n.tag)
     if mark and inner.strip():
         lead, tail = inner[: len(inner) - len(inner.lstrip())], inner[len(inner.rstrip()) :]
@@ -79,7 +73,7 @@ def _rows(table: Node) -> list[Node]:
 
 
 def _table(n: Node) -> str:
-    rows = [[_tidy("".join(inline(x) for x in c.children)).replace("|", "\\|").replace("\\\n", " ") for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")] for r in _rows(n)]
+    rows = [[_tidy("".join([inline(x) for x in c.children])).replace("|", "\\|").replace("\\\n", " ") for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")] for r in _rows(n)]
     rows = [r for r in rows if r]
     if not rows:
         return ""
@@ -89,14 +83,23 @@ def _table(n: Node) -> str:
     return "\n".join([line(rows[0]), line(["-" * max(3, len(c)) for c in rows[0]]), *map(line, rows[1:])])
 
 
-def _item(n: Node, marker: str) -> str:
-    body = "\n".join(blocks(n)) if not any(isinstance(c, Node) and c.tag == "p" for c in n.children) else "\n\n".join(blocks(n))
+def _item(n: Node, marker: str, holding: set[int]) -> str:
+    body = "\n".join(blocks(n, holding)) if not any(isinstance(c, Node) and c.tag == "p" for c in n.children) else "\n\n".join(blocks(n, holding))
     pad = " " * len(marker)
     return marker + body.replace("\n", "\n" + pad).replace("\n" + pad + "\n", "\n\n")
 
 
-def blocks(n: Node) -> list[str]:
-    """The blocks of a node's children."""
+def with_blocks(n: Node) -> set[int]:
+    """Ids of the elements below n that hold a block."""
+    out: set[int] = set()
+    for e in reversed(list(n.elements())):
+        if (e.tag in BLOCK or id(e) in out) and e.parent is not None:
+            out.add(id(e.parent))
+    return out
+
+
+def blocks(n: Node, holding: set[int]) -> list[str]:
+    """The blocks of a node's children. holding: with_blocks of a node above."""
     out: list[str] = []
     run: list[str] = []
 
@@ -106,14 +109,14 @@ def blocks(n: Node) -> list[str]:
         run.clear()
 
     for c in n.children:
-        if isinstance(c, str) or (c.tag not in BLOCK and not any(e.tag in BLOCK for e in c.elements())):
+        if isinstance(c, str) or (c.tag not in BLOCK and id(c) not in holding):
             run.append(inline(c))
             continue
         flush()
         if c.tag in _SKIP:
             continue
         if len(c.tag) == 2 and c.tag[0] == "h" and c.tag[1] in "123456":
-            if text := _tidy("".join(inline(x) for x in c.children)).replace("\\\n", " "):
+            if text := _tidy("".join([inline(x) for x in c.children])).replace("\\\n", " "):
                 out.append("#" * int(c.tag[1]) + " " + text)
         elif c.tag == "hr":
             out.append("***")
@@ -124,25 +127,34 @@ def blocks(n: Node) -> list[str]:
             ticks = _fence(text, 3)
             out.append(f"{ticks}{named[1] if named else infer_language(text) if text else ''}\n{text}\n{ticks}")
         elif c.tag == "blockquote":
-            if inner := "\n\n".join(blocks(c)):
+            if inner := "\n\n".join(blocks(c, holding)):
                 out.append(re.sub(r"(?m)^> $", ">", re.sub(r"(?m)^", "> ", inner)))
         elif c.tag in ("ul", "ol", "menu"):
             start = c.attrs.get("start", "1")
             marker = f"{start if start.isdigit() else 1}. " if c.tag == "ol" else "- "
-            items = [_item(i, marker) for i in c.children if isinstance(i, Node) and i.tag == "li"]
+            items = [_item(i, marker, holding) for i in c.children if isinstance(i, Node) and i.tag == "li"]
             if items:
                 out.append("\n".join(items))
         elif c.tag == "table":
             if text := _table(c):
                 out.append(text)
         else:
-            out += blocks(c)
+            out += blocks(c, holding)
     flush()
     return out
 
 
+#: Levels of the walk. Its calls are plain Python ones, which take no C stack.
+DEEPEST = 200_000
+
+
 def node_to_markdown(n: Node) -> str:
-    text = "\n\n".join(blocks(n))
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, DEEPEST))
+    try:
+        text = "\n\n".join(blocks(n, with_blocks(n)))
+    finally:
+        sys.setrecursionlimit(before)
     return text + "\n" if text else ""
 
 

@@ -90,17 +90,11 @@ def strip_tags(html: Column) -> Column:
 
 def infer_language(code: Column) -> Column:
     """Of a code block that names none; never unknown."""
-    has = lambda *xs: reduce(lambda a, x: a | F.contains(code, F.lit(x)), xs[1:], F.contains(code, F.lit(xs[0])))
+    has = lambda xs: reduce(lambda a, x: a | F.contains(code, F.lit(x)), xs[1:], F.contains(code, F.lit(xs[0])))
     trimmed = js_trim(code)
-    json = (trimmed.startswith("{") | trimmed.startswith("[")) & has(":", ",") & trimmed.rlike(r"(?s)[}\]]$") & F.try_parse_json(trimmed).isNotNull()
-    return (
-        F.when(has("import") & (has("React") | (has("<") & has("/>"))), "jsx")
-        .when(has(": ") & has("interface", "type ", "as ", ": string", ": number"), "typescript")
-        .when(has("import ", "export ", "=>", "const ", "let "), "javascript")
-        .when(json, "json")
-        .when(has("#!/bin/", "npm ", "yarn ", "bun ", "$ "), "bash")
-        .otherwise("javascript")
-    )
+    json = (trimmed.startswith("{") | trimmed.startswith("[")) & trimmed.rlike(r"(?s)[}\]]$") & F.try_parse_json(trimmed).isNotNull()
+    tests = [(language, reduce(lambda a, x: a & x, map(has, [*all_of, any_of]))) for language, all_of, any_of in fixed.CODE_MARKS]
+    return F.coalesce(*[F.when(test & json if language == "json" else test, language) for language, test in tests], F.lit(fixed.CODE_DEFAULT))
 
 
 def title_of(sources: list[Column], url: Column, path: Column) -> Column:

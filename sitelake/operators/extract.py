@@ -56,21 +56,32 @@ def raw_fields(html: str | None, with_links: bool = True) -> dict:
     return out
 
 
+_NOTHING = {"titles": [None] * 4, "descriptions": [None] * 3, "authors": [None] * 6, "dates": [None] * 6, "hrefs": [], "markdown": None}
+
+
 def _parsed(pages: DataFrame, html_col: str, with_links: bool) -> DataFrame:
-    """pages with the struct __raw."""
+    """pages but html_col, with the struct __raw. A page that can't be parsed has markdown by taking its tags out, and nothing else."""
     ship(pages.sparkSession)
-    kept = F.struct(*[pages[c].alias(f"c{i}") for i, c in enumerate(pages.columns)])
-    given = pages.select(pages[html_col].alias("html"), kept.alias("row"))
+    others = [c for c in pages.columns if c != html_col]
+    given = pages.select(pages[html_col].alias("html"), F.struct(F.lit(0).alias("none"), *[pages[c].alias(f"c{i}") for i, c in enumerate(others)]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                made = [raw_fields(x, with_links) for x in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(made, _RAW)], ["row", "raw"])
-
-    made = given.mapInArrow(run, f"row {given.schema['row'].dataType.simpleString()}, raw {_RAW_SQL}")
-    return made.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(pages.columns)], F.col("raw").alias("__raw"))
+                part, made, failed = batch.slice(k, 64), [], []
+                for x in part.column(0):
+                    html, lost = x.as_py(), None
+                    try:
+                        made.append(raw_fields(html, with_links))
+                    except Exception:  # noqa: BLE001  one page must not end the job; its text is kept below
+                        made.append(_NOTHING)
+                        lost = html
+                    failed.append(lost)
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(made, _RAW), pa.array(failed, pa.string())], ["row", "raw", "failed"])
+
+    made = given.mapInArrow(run, f"row {given.schema['row'].dataType.simpleString()}, raw {_RAW_SQL}, failed string")
+    raw = F.col("raw").withField("markdown", F.coalesce("raw.markdown", T.strip_tags(F.col("failed")), F.lit("")))
+    return made.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(others)], raw.alias("__raw"))
 
 
 def page_links(hrefs: Column, url: Column) -> Column:

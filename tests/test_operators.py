@@ -1,3 +1,4 @@
+import time
 import random
 
 from pyspark.sql import functions as F
@@ -168,3 +169,42 @@ def test_the_crawl_query_reaches_its_max_pages(spark, tmp_path):
     rows = queries.crawl(spark, str(tmp_path)).collect()
     assert sorted(r.seq for r in rows) == list(range(1, 301))
     assert {r.depth for r in rows} == {0, 1, 2, 3}
+
+
+def test_pages_of_any_shape_are_extracted(spark):
+    deep, wide = 10_000, 100_000
+    shapes = {
+        "spans": "<p>" + "<span>" * deep + "deep text " * 30 + "</span>" * deep + "</p>",
+        "divs": "<div>" * deep + "<p>" + "deep text " * 30 + "</p>" + "</div>" * deep,
+        "lists": "<ul><li>" * 1000 + "deep text " * 30,
+        "siblings": "<div>" + "<i></i><script>x</script>" * wide + "<p>" + "plain words " * 30 + "</p></div>",
+        "codes": "<p>" + "<code>x</code>" * wide + "</p>",
+        "ends": "<p>words" + "</b>" * wide,
+        "bodies": "<body>" * wide + "<p>" + "plain words " * 30,
+    }
+    df = spark.createDataFrame([(k, f"https://a.example/{k}", h) for k, h in shapes.items()], "k string, url string, html string").repartition(7)
+    began = time.time()
+    got = {r.k: r.markdown for r in extract.extract_pages(df).collect()}
+    assert time.time() - began < 90
+    assert set(got) == set(shapes)
+    for k in ("spans", "divs", "lists"):
+        assert "deep text deep text" in got[k]
+    assert "plain words" in got["siblings"] and "plain words" in got["bodies"] and "words" in got["ends"] and "`xxx" in got["codes"]
+
+
+def test_the_fallback_takes_tags_out(spark):
+    df = spark.createDataFrame([(1, "https://a.example/x", "<h1>Hi</h1><p>there <b>you</b></p><pre><code>a &lt; b</code></pre>")], "k int, url string, html string")
+    whole = extract.extract_pages(df).first()
+    before = extract.raw_fields
+
+    def fails(html, with_links=True):
+        raise ValueError
+
+    extract.raw_fields = fails
+    try:
+        row = extract.extract_pages(df).first()
+    finally:
+        extract.raw_fields = before
+    assert whole.title == "Hi" and (row.k, row.url) == (1, "https://a.example/x")
+    assert "Hi there you" in row.markdown and "```\na < b\n```" in row.markdown and "<" not in row.markdown.replace("a < b", "")
+    assert row.links == [] and row.word_count > 0
