@@ -278,7 +278,7 @@ PHRASES = ["", "cloudflare", "Just a moment... cloudflare", "datadome geo.captch
 STATUSES = ["200", "403", "429", "503", "200", "404", "200"]
 S_FETCHES = f"""(SELECT page_id, url, e AS priority, ['fetch', 'browser', 'stealth'][e + 1] AS engine,
   {listed(STATUSES)}[(page_id + e) % {len(STATUSES)} + 1]::int AS status_code,
-  CASE (page_id + e) % 4 WHEN 0 THEN html WHEN 1 THEN left(html, 600) WHEN 2 THEN left(html, 100) ELSE '' END || {listed(PHRASES)}[(page_id * 3 + e) % {len(PHRASES)} + 1] AS html
+  html || {listed(PHRASES)}[(page_id * 3 + e) % {len(PHRASES)} + 1] AS html
   FROM pages, range(3) r(e))"""
 
 
@@ -286,8 +286,7 @@ def _fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", "url", "html", F.posexplode(F.array(*map(F.lit, ["fetch", "browser", "stealth"]))).alias("priority", "engine"))
     pick = lambda xs, at: F.get(F.array(*map(F.lit, xs)), (at % len(xs)).cast("int"))
     page, e = F.col("page_id"), F.col("priority")
-    part = F.when((page + e) % 4 == 0, F.col("html")).when((page + e) % 4 == 1, F.left("html", F.lit(600))).when((page + e) % 4 == 2, F.left("html", F.lit(100))).otherwise(F.lit(""))
-    return rows.select("page_id", "url", "engine", "priority", pick(STATUSES, page + e).cast("int").alias("status_code"), F.concat(part, pick(PHRASES, page * 3 + e)).alias("html"), F.col("url").alias("final_url"))
+    return rows.select("page_id", "url", "engine", "priority", pick(STATUSES, page + e).cast("int").alias("status_code"), F.concat("html", pick(PHRASES, page * 3 + e)).alias("html"), F.col("url").alias("final_url"))
 
 
 S_JUDGED = f"(SELECT *, {s_reason('html', 'status_code')} AS reason, {s_confidence('html', 'status_code')}::double AS confidence FROM {S_FETCHES})"
@@ -638,13 +637,13 @@ BFS_DEPTH = 3
 
 
 @query(f"""
-WITH RECURSIVE edges AS (SELECT DISTINCT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem WHERE l_linenumber = 1 UNION SELECT DISTINCT l_suppkey * 2 + 1, l_partkey * 2 FROM lineitem WHERE l_linenumber = 1),
+WITH RECURSIVE edges AS (SELECT DISTINCT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem UNION SELECT DISTINCT l_suppkey * 2 + 1, l_partkey * 2 FROM lineitem),
 walk AS (SELECT 2::bigint AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < {BFS_DEPTH})
 SELECT node, min(depth) AS depth FROM walk GROUP BY 1
 """)
 def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and suppliers as pages that link to each other."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+    lines = table(spark, sf_dir, "lineitem")
     there = lines.select((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).distinct()
     edges = there.union(there.select("dst", "src"))
     return frontier.bfs(edges, spark.range(2, 3).select(F.col("id").alias("node")), BFS_DEPTH)
