@@ -27,17 +27,18 @@ def locale_dedup(urls: DataFrame, seq: str = "seq", url_col: str = "url", prefer
     the least seq of its N and P rows and of all rows, which an aggregation with local combining gives.
     Rows whose URL can't be parsed are not kept.
     """
-    info = U.locale_info(F.col(url_col))
-    host = U.url_parts(F.col(url_col))["host"]
+    found = F.struct(U.locale_info(F.col(url_col)).alias("info"), U.url_parts(F.col(url_col))["host"].alias("host"))
+    parsed = materialize(urls.withColumn("__found", found), "locale_urls")  # each URL is taken apart once
+    info, host = F.col("__found.info"), F.col("__found.host")
     kind = F.when(~info["has_locale"], "N").when(info["language"] == preferred, "P").otherwise("O")
-    marked = urls.withColumn("dedup_key", F.concat(host, info["canonical_path"])).withColumn("locale_class", F.when(host.isNotNull(), kind)).withColumn("__locale", info["locale"])
+    marked = parsed.withColumn("dedup_key", F.concat(host, info["canonical_path"])).withColumn("locale_class", F.when(host.isNotNull(), kind)).withColumn("__locale", info["locale"])
     state = marked.filter("dedup_key is not null").groupBy(F.col("dedup_key").alias("__key"), F.xxhash64("dedup_key").alias("__h")).agg(F.min(F.when(F.col("locale_class").isin("N", "P"), F.col(seq))).alias("__np"), F.min(seq).alias("__first"))
     joined = marked.join(state.drop("__h"), F.col("dedup_key") == F.col("__key"), "left")
     c, first = F.col("locale_class"), F.col(seq) == F.col("__first")
     before = F.coalesce(F.col("__np") < F.col(seq), F.lit(False))
     keep = F.coalesce((c == "N") | ((c == "P") & ~before) | ((c == "O") & first), F.lit(False))
     made = joined.withColumn("keep", keep).withColumn("reason", F.when(~keep, F.concat(F.lit("locale:"), F.col("__locale")))).withColumn("new_total", F.coalesce((c == "N") | first, F.lit(False)))
-    return made.select(*[urls[x] for x in urls.columns], "dedup_key", "locale_class", "keep", "reason", "new_total")
+    return made.select(*[F.col(x) for x in urls.columns], "dedup_key", "locale_class", "keep", "reason", "new_total")
 
 
 def locale_stats(deduped: DataFrame) -> DataFrame:
@@ -49,12 +50,12 @@ def locale_stats(deduped: DataFrame) -> DataFrame:
     )
 
 
-def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a, b (a < b), similarity: all pairs of fingerprints at least this similar; none is missed.
+def similar_links(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """a, b (a < b), similarity of different fingerprints, each named by its least id; and id, rep: whose fingerprint a row has.
 
     Words of a fingerprint are put in order of how rare they are. Two sets of similarity t share a word among
-    their |x| - ceil(t |x|) + 1 rarest, so only these are joined, under a bound on sizes. Equal
-    fingerprints are one row there and expanded by their own join.
+    their |x| - ceil(t |x|) + 1 rarest, so only these are joined, under a bound on sizes; none is missed. Rows of equal
+    fingerprints are never paired.
     """
     prints = docs.select(docs[id_col].cast("long").alias("id"), T.fingerprint(F.coalesce(docs[text_col], F.lit(""))).alias("fp"))
     prints = materialize(prints, "similar_prints")
@@ -71,12 +72,15 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     wa, wb = reps.select(F.col("rep").alias("ra"), F.col("words").alias("wa")), reps.select(F.col("rep").alias("rb"), F.col("words").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
     links = near.join(wa, "ra").join(wb, "rb").withColumn("similarity", both / (F.size("wa") + F.size("wb") - both)).filter(F.col("similarity") >= threshold).select("ra", "rb", "similarity")
-    rep_of = prints.join(prints.groupBy("fp").agg(F.min("id").alias("rep")), "fp").select("id", "rep")
-    rep_of = materialize(rep_of, "similar_rep_of")
-    ids_a, ids_b = rep_of.select(F.col("rep").alias("ra"), F.col("id").alias("ia")), rep_of.select(F.col("rep").alias("rb"), F.col("id").alias("ib"))
-    across = links.join(ids_a, "ra").join(ids_b, "rb").select("ia", "ib", "similarity")
-    equal = ids_a.join(ids_b, ids_a["ra"] == ids_b["rb"]).filter("ia < ib").select("ia", "ib", F.lit(1.0).alias("similarity"))
-    return across.unionByName(equal).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "similarity")
+    firsts = prints.groupBy("fp", F.xxhash64("fp").alias("h")).agg(F.min("id").alias("rep")).drop("h")
+    members = prints.join(firsts, "fp").select("id", "rep").distinct()
+    return links.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "similarity"), members
+
+
+def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a, b (a < b), similarity: pairs of the first rows of different fingerprints, and the first row of each with its copies (1.0)."""
+    links, members = similar_links(docs, threshold, id_col, text_col)
+    return links.union(members.filter("id <> rep").select("rep", "id", F.lit(1.0)))
 
 
 def _greedy(links: list) -> list[tuple[int, bool]]:
@@ -99,8 +103,9 @@ def similar_leaders(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     in one go, as a long chain of drifting versions takes a round a row.
     """
     spark = docs.sparkSession
-    pairs = materialize(similar_pairs(docs, threshold, id_col, text_col), "leader_pairs")
-    ids = docs.select(docs[id_col].cast("long").alias("id")).distinct()
+    links, members = similar_links(docs, threshold, id_col, text_col)
+    pairs, members = materialize(links, "leader_pairs"), materialize(members, "leader_members")
+    ids = members.select(F.col("rep").alias("id")).distinct()  # a copy goes where the first row of its fingerprint goes
     state = materialize(ids.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi").withColumn("keep", F.lit(None).cast("boolean")), "leader_state")
     while not state.filter("keep is null").isEmpty():
         known = state.select(F.col("id").alias("a"), F.col("keep").alias("ka"), F.lit(True).alias("listed"))
@@ -120,4 +125,6 @@ def similar_leaders(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     first = pairs.join(kept.filter("keep").select(F.col("id").alias("a")), "a").groupBy("b").agg(F.min_by(F.struct("a", "similarity"), "a").alias("m"))
     named = kept.join(first, kept["id"] == first["b"], "left")
     percent = F.concat(F.lit("similar:"), F.format_string("%.0f", F.col("m.similarity") * 100), F.lit("%"))
-    return named.select("id", "keep", F.when(F.col("keep"), F.col("id")).otherwise(F.col("m.a")).alias("leader"), F.when(~F.col("keep"), percent).alias("reason"))
+    judged = named.select(F.col("id").alias("of"), F.col("keep").alias("k"), F.when(F.col("keep"), F.col("id")).otherwise(F.col("m.a")).alias("leader"), F.when(~F.col("keep"), percent).alias("why"))
+    keep = F.col("k") & (F.col("id") == F.col("of"))
+    return members.join(judged, F.col("rep") == F.col("of")).select("id", keep.alias("keep"), "leader", F.when(~keep, F.coalesce("why", F.lit("similar:100%"))).alias("reason"))

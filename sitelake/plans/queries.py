@@ -511,7 +511,11 @@ pairs AS (SELECT a, b, s FROM (SELECT x.doc_id AS a, y.doc_id AS b, CASE WHEN x.
 """
 
 
-@query(f"WITH {S_PAIRS} SELECT a, b, round(s, 6)::double AS similarity FROM pairs")
+@query(f"""
+WITH {S_PAIRS}, firsts AS (SELECT fp, min(doc_id) AS rep FROM prints GROUP BY 1)
+SELECT a, b, round(s, 6)::double AS similarity FROM pairs WHERE a IN (SELECT rep FROM firsts) AND b IN (SELECT rep FROM firsts)
+UNION ALL SELECT rep, doc_id, 1.0::double FROM prints JOIN firsts USING (fp) WHERE doc_id <> rep
+""")
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.similar_pairs(table(spark, sf_dir, "documents")).withColumn("similarity", F.round("similarity", 6))
 
