@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelake.functions import text as T
 from sitelake.functions import urls as U
+from sitelake.runtime import ship
 
 RUNNING_BLOCK = 4096
 
@@ -26,10 +29,56 @@ def file_stem(url: Column, dir_name: Column | str | None = None) -> Column:
     return F.left(F.concat(safe(F.lower(prefix)), F.lit("__"), safe(tail)), F.lit(200))
 
 
-def unique_names(rows: DataFrame, stem: str = "stem", seq: str = "seq", ending: str = ".md") -> DataFrame:
-    """rows with filename: the stem, and -1, -2, ... for later rows of a stem."""
+def unique_names(rows: DataFrame, stem: str = "stem", seq: str = "seq", ending: str = ".md", existing: DataFrame | None = None) -> DataFrame:
+    """rows with filename: the stem, or the first of -1, -2, ... that no earlier row and no file in existing (filename) has.
+
+    Stems without their number endings are families. Where a family has one stem and no file, a row's place among its stem is its
+    number. Other families are named row by row, in one pass over their sorted rows; a task then holds a family's names.
+    """
+    family = lambda x: F.regexp_replace(x, "(-[0-9]+)+$", "")
+    marked = rows.withColumn("__family", family(F.col(stem)))
+    mixed = marked.groupBy("__family").agg(F.min(stem).alias("lo"), F.max(stem).alias("hi")).filter("lo <> hi").select("__family")
+    taken = None
+    if existing is not None:
+        ends = F.endswith(F.col("filename"), F.lit(ending))
+        taken = existing.filter(ends).select(F.left("filename", F.length("filename") - len(ending)).alias("name")).distinct().withColumn("__family", family(F.col("name")))
+        mixed = mixed.union(taken.select("__family")).distinct()
+    plain = marked.join(mixed, "__family", "left_anti")
     n = F.row_number().over(Window.partitionBy(stem).orderBy(seq)) - 1
-    return rows.withColumn("filename", F.concat(F.col(stem), F.when(n > 0, F.concat(F.lit("-"), n.cast("string"))).otherwise(F.lit("")), F.lit(ending)))
+    name = F.concat(F.col(stem), F.when(n > 0, F.concat(F.lit("-"), n.cast("string"))).otherwise(F.lit("")), F.lit(ending))
+    plain = plain.withColumn("filename", name).select(*[F.col(c) for c in rows.columns], "filename")
+
+    whole = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rows.columns)])
+    asked = marked.join(mixed, "__family", "left_semi").select("__family", F.lit(True).alias("asked"), F.col(seq).alias("at"), F.col(stem).alias("name"), whole.alias("row"))
+    kind = asked.schema["row"].dataType.simpleString()
+    if taken is not None:
+        held = taken.join(asked.select("__family").distinct(), "__family", "left_semi")
+        asked = asked.union(held.select("__family", F.lit(False), F.lit(None), "name", F.lit(None)))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, following = None, set(), {}
+        for batch in batches:
+            names, keep = [], []
+            for k, (of, is_asked, name) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True)):
+                if of != now:
+                    now, used, following = of, set(), {}
+                if not is_asked:
+                    used.add(name)
+                    continue
+                made, n = name, following.get(name, 1)
+                while made in used:
+                    made, n = f"{name}-{n}", n + 1
+                following[name] = n
+                used.add(made)
+                names.append(made)
+                keep.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(4).take(pa.array(keep, pa.int64())), pa.array(names, pa.string())], ["row", "name"])
+
+    ship(rows.sparkSession)
+    ordered = asked.repartition("__family").sortWithinPartitions("__family", "asked", "at")
+    numbered = ordered.mapInArrow(number, f"row {kind}, name string")
+    named = numbered.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(rows.columns)], F.concat("name", F.lit(ending)).alias("filename"))
+    return plain.unionByName(named)
 
 
 def front_matter(title: Column, url: Column, author: Column, date: Column, crawled: Column) -> Column:
@@ -54,7 +103,7 @@ def within_cap(rows: DataFrame, cap_bytes: int | None, bytes_col: str = "bytes",
     return joined.withColumn("written", F.col("__before") + F.coalesce(F.sum(bytes_col).over(inside), F.lit(0)) < cap_bytes).select(*[F.col(c) for c in rows.columns], "written")
 
 
-def page_files(results: DataFrame, dir_name: str | None = None, cap_bytes: int | None = None, crawled: Column | None = None) -> DataFrame:
+def page_files(results: DataFrame, dir_name: str | None = None, cap_bytes: int | None = None, crawled: Column | None = None, existing: DataFrame | None = None) -> DataFrame:
     """filename, content, bytes, seq of crawl results (seq, url, title, markdown, author, published_date).
 
     Rows that are empty are not written; a row is written while the rows before it stay below the cap.
@@ -64,7 +113,7 @@ def page_files(results: DataFrame, dir_name: str | None = None, cap_bytes: int |
     content = F.concat(front_matter(F.col("title"), F.col("url"), F.col("author"), F.col("published_date"), crawled), F.col("markdown"))
     made = filled.select("seq", file_stem(F.col("url"), dir_name).alias("stem"), content.alias("content")).withColumn("bytes", T.byte_size(F.col("content")))
     kept = within_cap(made, cap_bytes).filter("written").drop("written")
-    return unique_names(kept).select("filename", "content", "bytes", "seq")
+    return unique_names(kept, existing=existing).select("filename", "content", "bytes", "seq")
 
 
 def source_files(files: DataFrame, cap_bytes: int | None = None, crawled: Column | None = None) -> DataFrame:

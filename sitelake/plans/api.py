@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sitelake.functions import urls as U
 from sitelake.operators import frontier, sink, sitemaps
+from sitelake.runtime import materialize
 from sitelake.sources import files
 
 
@@ -32,14 +33,16 @@ def crawl_to_files(spark: SparkSession, pages: DataFrame, inputs: list[str], fol
     results = frontier.crawl(pages, seeds.select("url", "seq"), options, robots_txt, sitemap_urls)
     cap = int(max_size_mb * 1024 * 1024) if max_size_mb else None
     name = os.path.basename(folder.rstrip("/")) or None
-    made = sink.page_files(results, name, cap, F.lit(crawled) if crawled else None)
+    there = [(f,) for f in os.listdir(folder)] if os.path.isdir(folder) else []
+    existing = spark.createDataFrame(there, "filename string") if there else None
+    made = materialize(sink.page_files(results, name, cap, F.lit(crawled) if crawled else None, existing), "page_files")
     sink.write_files(made, folder)
     stats = sink.ingest_stats(made).first()
     return {"pages": stats.pages, "bytes": stats.bytes}
 
 
 def tree_to_files(spark: SparkSession, tree: str, folder: str, max_size_mb: float | None = None, crawled: str | None = None) -> dict:
-    made = sink.source_files(files.read_tree(spark, tree), int(max_size_mb * 1024 * 1024) if max_size_mb else None, F.lit(crawled) if crawled else None)
+    made = materialize(sink.source_files(files.read_tree(spark, tree), int(max_size_mb * 1024 * 1024) if max_size_mb else None, F.lit(crawled) if crawled else None), "source_files")
     sink.write_files(made, folder)
     stats = sink.ingest_stats(made).first()
     return {"files": stats.pages, "bytes": stats.bytes}

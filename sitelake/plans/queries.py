@@ -11,7 +11,9 @@ from sitelake.functions import blocks, fixed
 from sitelake.functions import text as T
 from sitelake.functions import urls as U
 from sitelake.operators import dedup, extract, fetches, frontier, robots, sink, sitemaps
+from sitelake.runtime import shared_path
 from sitelake.sources import files
+from sitelake.streaming import pages as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -668,3 +670,34 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     site = numbered.select(F.concat(F.lit("https://site.example/p"), page.cast("string")).alias("url"), F.lit("fetch").alias("engine"), F.lit(0).alias("priority"), F.lit(200).alias("status_code"), html.alias("html"), F.lit(None).cast("string").alias("final_url"))
     seeds = spark.range(1).select(F.lit("https://site.example/p0").alias("url"), F.col("id").alias("seq"))
     return frontier.crawl(site, seeds, frontier.CrawlOptions(depth=3, max_pages=300)).select("seq", "url", "depth", "engine", "title", "word_count")
+
+
+# ---- streams, run over what is there ----------------------------------------------------------------------------
+def _arriving(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
+    """A table as a stream of files. The path is a pattern, as a plain one would have to be a folder."""
+    kind = table(spark, sf_dir, name).select(*columns).schema
+    return spark.readStream.schema(kind).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def _finished(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream appends until all that is there is read."""
+    spark, out = stream.sparkSession, shared_path(stream.sparkSession, name)
+    running = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, f"{name}_log")).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query(f"SELECT DISTINCT {s_norm('url')} AS norm_url FROM pages")
+def stream_visited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _arriving(spark, sf_dir, "pages", ["page_id", "url"])
+    return _finished(streams.visited_once(pages).select("norm_url"), "stream_visited")
+
+
+@query("""
+SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS from_time, count(*) AS starts FROM (SELECT date_trunc('hour', ts) AS h FROM events)
+WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 SECOND FROM events) GROUP BY 1
+""")
+def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that the watermark has closed."""
+    made = streams.rate_windows(_arriving(spark, sf_dir, "events", ["ts"]), "1 hour")
+    return _finished(made.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("from_time"), "starts"), "stream_rates")

@@ -65,6 +65,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="sitelake-checkpoint-")
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")

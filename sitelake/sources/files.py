@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelake.functions import fixed
-from sitelake.functions.urls import language_of_extension
+from sitelake.functions.urls import base_domain, language_of_extension
 from sitelake.runtime import ship
 
 
@@ -70,3 +70,9 @@ def read_tree(spark: SparkSession, folder: str, partitions: int = 8) -> DataFram
 def sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Stored sessions (one JSON file each), the latest used first."""
     return spark.read.schema("domain string, createdAt string, lastUsed string").option("multiLine", True).option("pathGlobFilter", "*.json").json(folder).orderBy(F.desc("lastUsed"))
+
+
+def with_session(urls: DataFrame, stored: DataFrame, url_col: str = "url") -> DataFrame:
+    """The rows whose host, without www., has a stored session (domain)."""
+    domains = stored.select(F.regexp_replace(F.lower("domain"), r"^www\.", "").alias("__domain"))
+    return urls.join(domains, base_domain(F.col(url_col)) == domains["__domain"], "left_semi")

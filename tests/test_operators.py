@@ -1,5 +1,5 @@
-import time
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -208,3 +208,30 @@ def test_the_fallback_takes_tags_out(spark):
     assert whole.title == "Hi" and (row.k, row.url) == (1, "https://a.example/x")
     assert "Hi there you" in row.markdown and "```\na < b\n```" in row.markdown and "<" not in row.markdown.replace("a < b", "")
     assert row.links == [] and row.word_count > 0
+
+
+def test_names_never_clash(spark):
+    rng = random.Random(4)
+    stems = [rng.choice(["a", "a-1", "a-1-2", "b", "b-7", "c", "d-3"]) for _ in range(300)]
+    files_ = ["a-2.md", "c.md", "c-1.md", "z.md", "b-1.txt"]
+
+    def want(there):
+        used, out = set(there), {}
+        for i, x in enumerate(stems):
+            name, n = x, 1
+            while f"{name}.md" in used:
+                name, n = f"{x}-{n}", n + 1
+            used.add(f"{name}.md")
+            out[i] = f"{name}.md"
+        return out
+
+    rows = spark.createDataFrame(list(enumerate(stems)), "seq long, stem string").repartition(5)
+    assert {r.seq: r.filename for r in sink.unique_names(rows).collect()} == want([])
+    existing = spark.createDataFrame([(f,) for f in files_], "filename string")
+    assert {r.seq: r.filename for r in sink.unique_names(rows, existing=existing).collect()} == want(files_)
+
+
+def test_urls_with_a_session(spark):
+    urls = spark.createDataFrame([(1, "https://www.a.example/x"), (2, "https://b.example"), (3, "https://c.example/y")], "i int, url string")
+    stored = spark.createDataFrame([("a.example",), ("a.example",), ("www.C.example",)], "domain string")
+    assert sorted(r.i for r in files.with_session(urls, stored).collect()) == [1, 3]
