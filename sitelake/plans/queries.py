@@ -672,6 +672,29 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.crawl(site, seeds, frontier.CrawlOptions(depth=3, max_pages=300)).select("seq", "url", "depth", "engine", "title", "word_count")
 
 
+# ---- metadata: the pages have none, so each gets some by its number ----------------------------------------------
+META = [
+    (2, 0, '<meta name="description" content="about {n} &amp; more">'),
+    (3, 0, '<meta property="og:description" content="graph {n}">'),
+    (2, 1, '<meta name="author" content=" writer {n} ">'),
+    (4, 0, '<meta property="article:published_time" content="2024-02-03T10:00:00+02:00">'),
+    (5, 0, '<time datetime="2023-12-31">then</time>'),
+]
+
+
+@query("""
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'graph ' || page_id WHEN page_id % 2 = 0 THEN 'about ' || page_id || ' & more' ELSE '' END AS description,
+       CASE WHEN page_id % 2 = 1 THEN 'writer ' || page_id END AS author,
+       CASE WHEN page_id % 4 = 0 THEN '2024-02-03T08:00:00.000Z' WHEN page_id % 5 = 0 THEN '2023-12-31T00:00:00.000Z' END AS published_date
+FROM pages
+""")
+def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    tags = [F.when(n % m == r, F.replace(F.lit(x), F.lit("{n}"), n.cast("string"))).otherwise(F.lit("")) for m, r, x in META]
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(*tags, F.coalesce("html", F.lit(""))).alias("html"))
+    return extract.extract_pages(pages, include_links=False).select("page_id", "description", "author", "published_date")
+
+
 # ---- streams, run over what is there ----------------------------------------------------------------------------
 def _arriving(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
     """A table as a stream of files. The path is a pattern, as a plain one would have to be a folder."""
