@@ -49,6 +49,9 @@ def counter(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    counts = lambda x: len(tokenizer.encode(x, add_special_tokens=False))
+    if any(c.isspace() for t in tokenizer.get_added_tokens_decoder().values() for c in t.content) or counts(" \n ") or counts("a \n b") != counts("a") + counts("b"):
+        raise ValueError("a token may hold white space")
     known: dict[str, int] = {"": 0}
 
     def count(texts: list[str]) -> list[int]:
