@@ -51,3 +51,12 @@ def test_every_document(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = T.count_tokens(docs, shared_path(spark, "test_cache")).join(docs.select("doc_id", "text"), "doc_id").orderBy(F.desc("n_bytes")).limit(30).collect()
     assert all((r.n_bytes, r.n_tokens) == want(r.text) for r in rows)
+
+
+def test_a_tokenizer_that_keeps_white_space(spark, awkward):
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    full = Tokenizer.from_file(other)
+    assert T.drops_space(T.load(PATH)) and not T.drops_space(T.load(other))
+    rows = T.count_tokens(awkward, shared_path(spark, "test_cache"), tokenizer=other).collect()
+    want_ = [(r.doc_id, len((r.text or "").encode()), len(full.encode(r.text or "", add_special_tokens=False).ids)) for r in awkward.collect()]
+    assert sorted((tuple(r) for r in rows), key=str) == sorted(want_, key=str)
