@@ -1,3 +1,11 @@
+import random
+import zlib
+from array import array
+
+import public_tokenizers
+from test_near_dedup import brute, family
+from tokenizers import Tokenizer
+
 import corpus_pipeline as C
 from sitelake.llm.queries import ORACLE_SQL, QUERIES
 
@@ -30,3 +38,33 @@ def test_language_keeps_texts_where_no_label_is_set(spark, sf_dir):
 def test_every_operator_has_a_query():
     assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    rng = random.Random(11)
+    texts = [*family(rng, 12, 70, 0.01), *family(rng, 6, 50, 0.02), *family(rng, 10, 40, 1.0), None, "", "12 34 56", "one two", "One, two!"]
+    texts += texts[:4] + texts[20:22] + ["long words " * 1500]
+    docs = [(i, t, rng.choice(["en", "de", None]), f"s{i % 3}") for i, t in enumerate(texts)]
+    rng.shuffle(docs)
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spoken = {d: t for d, t, *_ in docs if any(c.isalpha() for c in t or "")}
+    single = {t: max(d for d in spoken if spoken[d] == t) for t in spoken.values()}
+    left = sorted((d, t) for t, d in single.items())
+    root = brute(left)
+    kept = [(d, t) for d, t in left if root[d] == d]
+    assert len(docs) > len(spoken) > len(left) > len(kept) > 10
+    rows = C.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} == {d for d, _ in kept}
+    full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {d: [*full.encode(t, add_special_tokens=False).ids, 2] for d, t in kept}
+    at: dict = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        ids = want[r.doc_id][r.start : r.start + r.length]
+        assert r.start == at.get(r.doc_id, 0) and r.ids_crc32 == zlib.crc32(array("I", ids).tobytes())
+        at[r.doc_id] = r.start + r.length
+    assert at == {d: len(x) for d, x in want.items()}
+    places: dict = {}
+    for r in sorted(rows, key=lambda r: r.offset):
+        assert r.offset == places.get(r.sequence_id, 0)
+        places[r.sequence_id] = r.offset + r.length
+    assert max(places.values()) <= 1024 and len(places) <= sum(at.values()) // 1024 + 2
