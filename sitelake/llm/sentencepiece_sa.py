@@ -26,11 +26,12 @@ Results equal the sentencepiece library's, in encoding and decoding (tested).
 
 Defined results: a null or empty text has no pieces, and decodes to the empty text.
 Null ids and repeated rows are encoded like any other; an empty table gives no rows. Any
-id sequence decodes; bytes that aren't UTF-8 become U+FFFD. Only the named columns are read.
+id sequence decodes; each byte that isn't part of UTF-8 becomes U+FFFD. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import re
 from array import array
@@ -51,6 +52,7 @@ FEW = 48  # edges at an offset that are relaxed one by one
 _BREAK = b"\xf8"  # in no UTF-8 text
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 _loaded: dict[str, "Pieces"] = {}
+codecs.register_error("sentencepiece_bytes", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
 class Pieces:
@@ -292,7 +294,7 @@ def encode_texts(p: Pieces, texts: list[str | None]) -> list[bytes]:
 
 
 def decode_ids(p: Pieces, ids: bytes | None) -> str:
-    text = b"".join(map(p.byte_of.__getitem__, array("I", ids or b""))).decode("utf-8", "replace")
+    text = b"".join(map(p.byte_of.__getitem__, array("I", ids or b""))).decode("utf-8", "sentencepiece_bytes")
     return text.removeprefix(" ")
 
 

@@ -48,6 +48,13 @@ def test_any_ids_decode_alike(ids):
     assert S.decode_ids(S.pieces(PATH), array("I", ids).tobytes()) == m.decode(ids)
 
 
+def test_bytes_outside_utf8_decode_one_by_one(library):
+    p = S.pieces(PATH)
+    for raw in (b"\xe1\x80", b"\xf0\x9f\x98", b"\xed\xa0\x80", b"\xff\xc3", b"\xc3(", b"\xef\xbf\xbd\x80"):
+        ids = [p.byte_id[b] for b in raw] + [p.id["a"]]
+        assert S.decode_ids(p, array("I", ids).tobytes()) == library.decode(ids), raw
+
+
 def test_pairs_fit_as_merging_says():
     p, rng = S.pieces(PATH), random.Random(8)
     ids = [i for i in p.searched_id.tolist() if S.SPACE not in p.text[i]]
