@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +47,12 @@ from sitelake.runtime import ship
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-REMEMBERED, REMEMBERED_PAIRS, BATCH_BYTES = 400_000, 1_000_000, 1 << 19
+REMEMBERED, PAIR_BITS, BATCH_BYTES = 400_000, 20, 1 << 19
+PART_BYTES = 1 << 22  # of texts at once, or one longer text
 LONG_UNIT = 64  # longer units are not remembered
 FEW = 48  # edges at an offset that are relaxed one by one
 _BREAK = b"\xf8"  # in no UTF-8 text
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 _loaded: dict[str, "Pieces"] = {}
 codecs.register_error("sentencepiece_bytes", lambda e: ("\ufffd" * (e.end - e.start), e.end))
@@ -101,7 +104,7 @@ class Pieces:
         two.sort()
         self.pairs = np.array([k for k, _ in two], np.int64)
         self.pair_rank = np.searchsorted(scores, [-x for _, x in two])
-        self.known, self.known_fit = np.zeros(1, np.int64), np.zeros(1, bool)
+        self.known, self.known_fit = np.full(1 << PAIR_BITS, -1), np.zeros(1 << PAIR_BITS, bool)
         self.units: dict[str, bytes] = {}
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
@@ -144,21 +147,20 @@ class Pieces:
         return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """fit, remembered; a is -2 where nothing is before b."""
+        """fit, remembered, a pair in the place that its hash gives; a is -2 where nothing is before b."""
         out = (a < 0) | self.bytes[a] | self.bytes[b]
         ask = np.flatnonzero(~out)
         key = a[ask] << 20 | b[ask]
-        found = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
-        out[ask] = self.known_fit[found]
-        new = self.known[found] != key
-        if new.any():
-            keys, where = np.unique(key[new], return_inverse=True)
+        place = (key.astype(np.uint64) * _SPREAD) >> np.uint64(64 - PAIR_BITS)
+        out[ask] = self.known_fit[place]
+        new = np.flatnonzero(self.known[place] != key)
+        if len(new):
+            keys, first, where = np.unique(key[new], return_index=True, return_inverse=True)
             fits = self.fit(keys >> 20, keys & ((1 << 20) - 1))
             out[ask[new]] = fits[where]
-            if len(self.known) + len(keys) > REMEMBERED_PAIRS:
-                self.known, self.known_fit = self.known[:1], self.known_fit[:1]
-            at = np.searchsorted(self.known, keys)
-            self.known, self.known_fit = np.insert(self.known, at, keys), np.insert(self.known_fit, at, fits)
+            place = place[new[first]]
+            _, once = np.unique(place, return_index=True)  # of pairs that share a place, one is remembered
+            self.known[place[once]], self.known_fit[place[once]] = keys[once], fits[once]
         return out
 
     def ids_of(self, parts: list[str]) -> list[int]:
@@ -171,12 +173,32 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
+def suffix_order(p: Pieces, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of the suffixes in order, and the first bytes of each.
+
+    Sorted by the first eight bytes as one number; only suffixes that are alike there and don't end there are
+    sorted further. What comes after a break is in no order, as no piece reaches it.
+    """
+    words = -(-p.window // 8)
+    padded = np.concatenate([text, np.frombuffer(_BREAK * (8 * words), np.uint8)])
+    windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8 * words)[: len(text)])
+    part = windows.view(">u8")
+    head = part[:, 0].astype(np.uint64)
+    suffixes = np.argsort(head)
+    ordered = head[suffixes]
+    alike = np.concatenate([[False], ordered[1:] == ordered[:-1]])
+    # how far the next break is: beyond the first eight bytes
+    stops = np.append(np.flatnonzero(text == _BREAK[0]), len(text) + 8)
+    far = (stops[np.searchsorted(stops, np.arange(len(text)))] - np.arange(len(text)) >= 8)[suffixes]
+    again = np.flatnonzero((alike | np.append(alike[1:], False)) & far)
+    rest = suffixes[again]
+    suffixes[again] = rest[np.lexsort([*(part[rest, k] for k in range(words - 1, 0, -1)), ordered[again]])]
+    return suffixes, windows.view(f"S{8 * words}").ravel()[suffixes]
+
+
 def occurrences(p: Pieces, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, piece) of every occurrence of every piece."""
-    padded = np.concatenate([text, np.frombuffer(_BREAK * p.window, np.uint8)])
-    windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, p.window)[: len(text)]).view(f"S{p.window}").ravel()
-    suffixes = np.argsort(windows, kind="stable")
-    ordered = windows[suffixes]
+    suffixes, ordered = suffix_order(p, text)
     lo, hi = np.searchsorted(ordered, p.searched, "left"), np.searchsorted(ordered, p.after, "left")
     n = hi - lo
     at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
@@ -215,7 +237,7 @@ def relax(p: Pieces, data: list[bytes]) -> list[bytes]:
     size = np.array([len(d) + 1 for d in data])
     begin = np.cumsum(size) - size
     offset = end - np.repeat(begin, size)[start]
-    order = np.argsort(offset, kind="stable")
+    order = np.argsort(offset.astype(np.uint16) if size.max() < 1 << 16 else offset, kind="stable")
     start, end, piece = start[order], end[order], piece[order]
     # last[k]: the piece that ends at k; back[k]: where it starts; -1: not reached; -2: the start of a unit
     last, back = np.full(len(text) + 1, -1), np.zeros(len(text) + 1, np.int64)
@@ -232,17 +254,16 @@ def relax(p: Pieces, data: list[bytes]) -> list[bytes]:
         ok = reached[p.compatible(before[reached], piece[now][reached])]
         last[end[now][ok]], back[end[now][ok]] = piece[now][ok], start[now][ok]
     if k < len(start):
-        last_, back_, remembered = last.tolist(), back.tolist(), {}
+        remembered: dict[int, bool] = {}
         for s, e, i in zip(start[k:].tolist(), end[k:].tolist(), piece[k:].tolist(), strict=True):
-            if last_[e] == -1 and (before := last_[s]) != -1:  # one edge into a position holds, so the others needn't be tried
+            if last[e] == -1 and (before := int(last[s])) != -1:  # one edge into a position holds, so the others needn't be tried
                 key = before << 20 | i
                 if before == -2:
                     ok = True
                 elif (ok := remembered.get(key)) is None:
                     ok = remembered[key] = bool(p.bytes[before] or p.bytes[i]) or p.merge(p.text[before] + p.text[i])[0] == [p.text[before], p.text[i]]
                 if ok:
-                    last_[e], back_[e] = i, s
-        last, back = np.array(last_), np.array(back_)
+                    last[e], back[e] = i, s
     # from the ends back to the starts, all units at once
     at, ends = [], begin + size - 1
     while len(ends := ends[last[ends] != -2]):
@@ -278,19 +299,57 @@ def units_of(text: str) -> list[str]:
     return out
 
 
-def encode_texts(p: Pieces, texts: list[str | None]) -> list[bytes]:
+def split_units(texts: pa.ChunkedArray | pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different units of some texts, which of them comes where, and where each text ends among these.
+
+    Spaces become marks with a border before them and line feeds get borders on both sides, so one split at the borders
+    gives the units (and empty strings, which have no ids). Only texts in which marks would meet take units_of.
+    """
+    given = pc.fill_null(texts.cast(pa.large_string()), "")
+    given = given.combine_chunks() if isinstance(given, pa.ChunkedArray) else given
+    odd = pc.or_(pc.match_substring_regex(given, f"^ |  |{SPACE}"), pc.equal(given, "")).to_numpy(zero_copy_only=False)
+    mark, none = pa.scalar(SPACE, pa.large_string()), pa.scalar("", pa.large_string())
+    marked = pc.binary_join_element_wise(mark, pc.replace_substring(pc.replace_substring(given, " ", " " + SPACE), "\n", " \n "), none)
+    cut = pc.split_pattern(pc.if_else(pa.array(odd), none, marked), " ")
+    count = pc.list_value_length(cut).to_numpy().astype(np.int64)
+    words = cut.flatten()
+    if odd.any():
+        of = [units_of(t) for t in given.filter(pa.array(odd)).to_pylist()]
+        fine, each = words.filter(pa.array(np.repeat(~odd, count))), np.array([len(u) for u in of], np.int64)
+        # both kinds side by side, taken in the order of the texts
+        count[odd] = each
+        kind = np.repeat(odd, count)
+        place = np.where(kind, len(fine) + np.cumsum(kind) - 1, np.cumsum(~kind) - 1)
+        words = pa.concat_arrays([fine, pa.array([u for s in of for u in s], pa.large_string())])
+        coded = words.dictionary_encode()
+        which = coded.indices.to_numpy()[place]
+    else:
+        coded = words.dictionary_encode()
+        which = coded.indices.to_numpy()
+    return coded.dictionary, which, np.cumsum(count)
+
+
+def encode_texts(p: Pieces, texts: list[str | None] | pa.Array) -> list[bytes]:
     """Ids of each text, little-endian unsigned 32 bit."""
-    split = [units_of(t or "") for t in texts]
+    different, which, ends = split_units(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)
+    units = different.to_numpy(zero_copy_only=False).tolist()
     if len(p.units) > REMEMBERED:
         for u in list(p.units)[REMEMBERED // 2 :]:  # the common units came first
             del p.units[u]
-    found = encode_units(p, sorted({u for s in split for u in s if u not in p.units}))
-    p.units.update(found)
-    out = [b"".join(map(p.units.__getitem__, s)) for s in split]
-    for u in found:
-        if len(u) > LONG_UNIT:
-            del p.units[u]
-    return out
+    of = list(map(p.units.get, units))
+    new = [i for i, known in enumerate(of) if known is None]
+    found = encode_units(p, [units[i] for i in new])
+    for i in new:
+        of[i] = found[units[i]]
+    p.units.update((u, ids) for u, ids in found.items() if len(u) <= LONG_UNIT)
+    # the ids of the units one after another, then gathered for the texts
+    ids = np.frombuffer(b"".join(of), "<u4")
+    size = np.fromiter(map(len, of), np.int64, len(of)) // 4
+    begin, each = np.cumsum(size) - size, size[which]
+    upto = np.cumsum(each)
+    made = ids[np.repeat(begin[which] - (upto - each), each) + np.arange(upto[-1] if len(upto) else 0)].tobytes()
+    edges = (4 * np.concatenate([[0], upto])[np.concatenate([[0], ends])]).tolist()
+    return [made[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def decode_ids(p: Pieces, ids: bytes | None) -> str:
@@ -298,6 +357,16 @@ def decode_ids(p: Pieces, ids: bytes | None) -> str:
     return text.removeprefix(" ")
 
 
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, parted where the texts (its second column) would pass PART_BYTES."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, at = np.cumsum(size), 0
+    while at < len(size):
+        stop = max(at + 1, int(np.searchsorted(upto, upto[at] - size[at] + PART_BYTES, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _path(model: str | None) -> str:
     if model is None:
         import public_tokenizers
@@ -315,9 +384,8 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                ids = encode_texts(p, part.column(1).to_pylist())
+            for part in parts_of(batch):
+                ids = encode_texts(p, part.column(1))
                 back = [pa.array([decode_ids(p, x) for x in ids], pa.string())] if decoded else []
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary()), *back], names)
 

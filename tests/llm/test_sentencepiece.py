@@ -4,6 +4,7 @@ from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -87,6 +88,16 @@ def test_offsets_at_once_or_edge_by_edge(library, monkeypatch, few):
     assert [list(array("I", b"".join(made[u] for u in S.units_of(t)))) for t in texts] == [library.encode(t) for t in texts]
 
 
+def test_parts_hold_all_rows_in_order(monkeypatch):
+    monkeypatch.setattr(S, "PART_BYTES", 10)
+    texts = ["", None, "a" * 4, "é" * 3, "x" * 50, "", "y" * 10, "z", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "content"])
+    parts = list(S.parts_of(batch))
+    assert [i for part in parts for i in part.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(part.num_rows == 1 or sum(len((t or "").encode()) for t in part.column(1).to_pylist()) <= 10 for part in parts)
+    assert [part.num_rows for part in parts] == [4, 1, 2, 2]
+
+
 def test_awkward_rows(library, awkward, no_rows):
     both = S.decode_documents(S.encode_documents(awkward))
     rows = both.collect()
