@@ -123,6 +123,22 @@ CODE_MARKS = [
 ]
 CODE_DEFAULT = "javascript"
 
+# What an error message is told as: the first row of which the message holds a mark.
+ERROR_MESSAGES = [
+    (["dimension mismatch"], "Vector dimension mismatch. The file was created with a different embedding model."),
+    (["OPENAI_API_KEY"], "OpenAI API key required. Set OPENAI_API_KEY environment variable or use --api-key flag"),
+    (["ENOENT"], "File not found: "),
+    (["EACCES"], "Permission denied. Check file permissions."),
+    (["ENOSPC"], "Disk full. Free up space and try again."),
+    (["fetch failed", "ETIMEDOUT"], "Network error. Check your internet connection."),
+    (["rate limit", "429"], "Rate limited. Wait a moment and try again."),
+]
+UNKNOWN_ERROR, UNKNOWN_FILE = "Unknown error", "unknown"
+
+# Where a preview looks for sitemaps, in order: news, whose dates count, then regular ones.
+NEWS_SITEMAPS = ["/sitemap/news.xml", "/news-sitemap.xml", "/sitemap-news.xml", "/sitemaps/news.xml"]
+REGULAR_SITEMAPS = ["/sitemap.xml", "/sitemap_index.xml"]
+
 # Progress milestones and the marker of a cut text.
 MILESTONES = [10, 25, 50, 75, 100, 150, 200, 300, 500]
 TRUNCATED = "\n\n[Content truncated...]"

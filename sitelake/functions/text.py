@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -158,6 +159,21 @@ def short_label(x: Column) -> Column:
     return F.when(F.length(x) > 50, F.concat(F.left(x, F.lit(47)), F.lit("..."))).otherwise(x)
 
 
+def explained_error(message: Column) -> Column:
+    """What a user is told for an error message; a file that is missing is named if the message quotes one."""
+    named = F.nullif(F.get(F.split(message, "'"), F.lit(1)), F.lit(""))
+    out = F.coalesce(message, F.lit(fixed.UNKNOWN_ERROR))
+    for marks, told in reversed(fixed.ERROR_MESSAGES):
+        held = reduce(or_, [F.contains(message, F.lit(m)) for m in marks])
+        out = F.when(held, F.concat(F.lit(told), F.coalesce(named, F.lit(fixed.UNKNOWN_FILE))) if marks == ["ENOENT"] else F.lit(told)).otherwise(out)
+    return out
+
+
+def pages_per_second(pages: Column, seconds: Column) -> Column:
+    """With one decimal; 0.0 where no time has passed."""
+    return F.when(seconds > 0, F.format_string("%.1f", pages / seconds)).otherwise("0.0")
+
+
 def milestone(count: Column) -> Column:
     """The last milestone that is reached, or null."""
     return F.array_max(F.filter(F.array(*map(F.lit, fixed.MILESTONES)), lambda m: m <= count)).cast("long")

@@ -63,7 +63,7 @@ def crawl(pages: DataFrame, seeds: DataFrame, options: CrawlOptions = CrawlOptio
     """
     wanted = seeds.select(U.normalize_url(F.col("url")).alias("norm"), F.col("url"), "seq")
     hosts = seeds.select(U.base_domain(F.col("url")).alias("base_host")).distinct()
-    keyed = fetches.pick(pages).withColumn("norm", U.normalize_url(F.col("url"))).drop("url")
+    keyed = pages.withColumn("norm", U.normalize_url(F.col("url")))
     start = wanted.select("norm", "url", F.struct(F.lit(0).cast("long").alias("parent"), F.col("seq").cast("long").alias("pos")).alias("order"), F.lit(0).alias("depth"))
     queue = start
     if sitemap_urls is not None and options.seed_from_sitemap:
@@ -89,7 +89,9 @@ def crawl(pages: DataFrame, seeds: DataFrame, options: CrawlOptions = CrawlOptio
         visited = level.select("norm") if visited is None else visited.unionByName(level.select("norm"))
         if n == 0:
             continue
-        got = keyed.join(level, "norm").filter((F.col("status_code") < 400)).select("url", F.coalesce("final_url", "norm").alias("final_url"), "depth", "engine", "seq", "html")
+        # only the fetches of this level are picked from; it has at most max_pages rows
+        fetched = fetches.pick(keyed.join(F.broadcast(level.select("norm")), "norm", "left_semi")).drop("url")
+        got = fetched.join(level, "norm").filter((F.col("status_code") < 400)).select("url", F.coalesce("final_url", "norm").alias("final_url"), "depth", "engine", "seq", "html")
         # links are resolved against where the fetch ended
         made = extract.extract_pages(got, url_col="final_url").filter(F.col("word_count") >= options.low_content)
         made = materialize(made, "crawl_pages")
@@ -109,7 +111,7 @@ def crawl(pages: DataFrame, seeds: DataFrame, options: CrawlOptions = CrawlOptio
             pending = materialize(pending.filter(F.col("depth") > d).unionByName(fresh), "crawl_queue")
     spark = pages.sparkSession
     if results is None:
-        empty = extract.extract_pages(keyed.join(start, "norm").select("url", "final_url", "depth", "engine", F.lit(0).cast("long").alias("seq"), "html"), url_col="final_url")
+        empty = extract.extract_pages(keyed.drop("url").join(start, "norm").select("url", "final_url", "depth", "engine", F.lit(0).cast("long").alias("seq"), "html"), url_col="final_url")
         return spark.createDataFrame([], empty.schema)
     return results
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitelake.functions import fixed
 from sitelake.functions import text as T
 from sitelake.functions.urls import js_trim
 
@@ -62,6 +63,25 @@ def routed_urls(sitemaps: DataFrame, library: DataFrame | None = None, most: int
     return ranked.filter(F.col("pos") <= most).select("host", "pos", "loc")
 
 
+def news_first(sitemaps: DataFrame, most: int = PREVIEW_URLS) -> DataFrame:
+    """host, pos, loc, lastmod, changefreq, priority: at most `most` entries of each host's first filled sitemap.
+
+    sitemaps: host, sitemap_url, xml. News sitemaps come first and keep what they say of an entry; regular ones and the
+    children of indexes give only locations. Sitemaps at other paths count only as such children.
+    """
+    paths = fixed.NEWS_SITEMAPS + fixed.REGULAR_SITEMAPS
+    path = F.regexp_extract("sitemap_url", r"^[^:]+://[^/]*(/.*)$", 1)
+    placed = sitemaps.withColumn("rank", F.array_position(F.array(*map(F.lit, paths)), path)).filter("rank > 0")
+    news = placed.filter(F.col("rank") <= len(fixed.NEWS_SITEMAPS))
+    told = entries(news.select("host", "rank", "xml"))
+    regular = placed.filter(F.col("rank") > len(fixed.NEWS_SITEMAPS)).select(F.struct("host", "rank").alias("host"), "sitemap_url", "xml")
+    plain = routed_urls(regular, sitemaps, most, children=1 << 30).select("host.*", "pos", "loc")
+    every = told.unionByName(plain, allowMissingColumns=True)
+    first = every.groupBy("host").agg(F.min("rank").alias("rank"))
+    ranked = every.join(first, ["host", "rank"]).withColumn("pos", F.row_number().over(Window.partitionBy("host").orderBy("pos")).cast("long"))
+    return ranked.filter(F.col("pos") <= most).select("host", "pos", "loc", "lastmod", "changefreq", "priority")
+
+
 def preview_pages(found: DataFrame, most: int = PREVIEW_ROWS) -> DataFrame:
     """loc, lastmod of the `most` latest entries (0: the default); entries without a date last, then in order."""
     when = T.parse_date(F.col("lastmod"))

@@ -50,8 +50,11 @@ def tree_to_files(spark: SparkSession, tree: str, folder: str, max_size_mb: floa
 
 def preview(sitemap_tables: DataFrame, host: str, limit: int = sitemaps.PREVIEW_ROWS) -> dict:
     """What a site holds, from its sitemaps (host, priority, sitemap_url, xml)."""
-    best = sitemaps.first_filled(sitemap_tables.filter(F.col("host") == host))
-    found = sitemaps.entries(best.select("host", "xml")).orderBy("pos").limit(sitemaps.PREVIEW_URLS)
+    of_host = sitemap_tables.filter(F.col("host") == host)
+    found = sitemaps.news_first(of_host)
+    if found.isEmpty():  # sitemaps at other places, by the priority that they are given with
+        best = sitemaps.first_filled(of_host)
+        found = sitemaps.entries(best.select("host", "xml")).orderBy("pos").limit(sitemaps.PREVIEW_URLS)
     summary = sitemaps.preview_summary(found.select(F.col("host").alias("domain"), "loc")).first()
     if summary is None:
         return {"domain": host, "total_pages": 0, "has_sitemap": False, "recent_pages": []}

@@ -406,6 +406,17 @@ def sitemap_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitemaps.routed_urls(index.select(F.lit("0").alias("host"), F.lit("https://0/sitemap_index.xml").alias("sitemap_url"), "xml"), library)
 
 
+@query(f"""
+SELECT host, pos + 1 AS pos, loc, CASE WHEN length(host) % 2 = 0 THEN lastmod END AS lastmod, CASE WHEN length(host) % 2 = 0 THEN changefreq END AS changefreq, CASE WHEN length(host) % 2 = 0 THEN priority END AS priority
+FROM {S_ENTRIES} WHERE pos < {sitemaps.PREVIEW_URLS}
+""")
+def sitemap_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the hosts have a news sitemap too."""
+    regular = _sitemaps(spark, sf_dir).select("host", "sitemap_url", "xml")
+    news = regular.filter(F.length("host") % 2 == 0).withColumn("sitemap_url", F.concat(F.lit("https://"), "host", F.lit("/news-sitemap.xml")))
+    return sitemaps.news_first(regular.unionByName(news))
+
+
 @query(f"SELECT loc, lastmod FROM (SELECT *, row_number() OVER (ORDER BY lastmod DESC NULLS LAST, page_id) AS k FROM (SELECT page_id, url AS loc, CASE WHEN page_id % 4 = 0 THEN NULL ELSE '2024-' || lpad((page_id % 12 + 1)::varchar, 2, '0') || '-' || lpad((page_id % 28 + 1)::varchar, 2, '0') END AS lastmod FROM pages)) WHERE k <= 20")
 def preview_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     page, two = F.col("page_id"), lambda x: F.lpad(x.cast("string"), 2, "0")
@@ -628,6 +639,21 @@ def format_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", T.format_bytes(b).alias("bytes_text"), T.format_duration(b).alias("duration_text"), T.progress_bar(b, F.lit(2e8)).alias("bar"), T.milestone(F.col("o_orderkey")).alias("milestone"))
 
 
+ERRORS = [*[f"error: {m}" for marks, _ in fixed.ERROR_MESSAGES for m in marks], "ENOENT: open 'a b.txt', 'c'", "ENOENT '' x", "else", "ETIMEDOUT at 429", None]
+_TOLD = " ".join(f"WHEN {' OR '.join(f'contains(e, {listed([m])}[1])' for m in marks)} THEN {listed([told])}[1]" + (f" || coalesce(nullif(string_split(e, chr(39))[2], ''), '{fixed.UNKNOWN_FILE}')" if marks == ["ENOENT"] else "") for marks, told in fixed.ERROR_MESSAGES)
+
+
+@query(f"""
+SELECT o_orderkey, CASE {_TOLD} ELSE coalesce(e, '{fixed.UNKNOWN_ERROR}') END AS told,
+  CASE WHEN s > 0 THEN printf('%.1f', floor(o_orderkey / s * 10 + 0.5) / 10) ELSE '0.0' END AS speed
+FROM (SELECT o_orderkey, o_orderkey % 16 * 0.5 AS s, [{', '.join('NULL' if e is None else listed([e]) + '[1]' for e in ERRORS)}][o_orderkey % {len(ERRORS)} + 1] AS e FROM orders)
+""")
+def error_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    error = F.get(F.array(*map(F.lit, ERRORS)), (F.col("o_orderkey") % len(ERRORS)).cast("int"))
+    speed = T.pages_per_second(F.col("o_orderkey"), F.col("o_orderkey") % 16 * 0.5)
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.explained_error(error).alias("told"), speed.alias("speed"))
+
+
 @query("SELECT o_orderkey, CASE d WHEN 0 THEN 'today' WHEN 1 THEN 'yesterday' ELSE d::varchar || ' days ago' END AS last_used FROM (SELECT o_orderkey, floor((epoch(TIMESTAMP '1998-08-03 12:00:00') - epoch(o_orderdate)) / 86400)::bigint AS d FROM orders)")
 def days_ago(spark: SparkSession, sf_dir: str) -> DataFrame:
     when = F.col("o_orderdate").cast("timestamp")

@@ -86,6 +86,14 @@ def test_display(spark):
     assert [r[0] for r in pages.select(T.size_estimate(F.lit("docs"), F.col("n"))).collect()] == ["10MB (fits in free tier)", "59MB (needs API key for full crawl)"]
 
 
+def test_errors_and_speed(spark):
+    told = {"x dimension mismatch 429": "Vector dimension mismatch. The file was created with a different embedding model.", "ENOENT: no 'a/b'": "File not found: a/b", "ENOENT ''": "File not found: unknown", "ENOENT": "File not found: unknown", "it got 429": "Rate limited. Wait a moment and try again.", "other": "other", "": "", None: "Unknown error"}
+    df = spark.createDataFrame([(m,) for m in told], "m string")
+    assert [r[0] for r in df.select(T.explained_error(F.col("m"))).collect()] == list(told.values())
+    df = spark.createDataFrame([(10, 4.0), (7, 0.0), (7, -1.0), (0, 2.0)], "n long, s double")
+    assert [r[0] for r in df.select(T.pages_per_second(F.col("n"), F.col("s"))).collect()] == ["2.5", "0.0", "0.0", "0.0"]
+
+
 def test_plans_stay_small(spark):
     """Nested URL functions bind their parts once."""
     df = spark.createDataFrame([("a", "https://x.com/b")], "h string, u string")

@@ -235,3 +235,17 @@ def test_urls_with_a_session(spark):
     urls = spark.createDataFrame([(1, "https://www.a.example/x"), (2, "https://b.example"), (3, "https://c.example/y")], "i int, url string")
     stored = spark.createDataFrame([("a.example",), ("a.example",), ("www.C.example",)], "domain string")
     assert sorted(r.i for r in files.with_session(urls, stored).collect()) == [1, 3]
+
+
+def test_news_sitemaps_come_first(spark):
+    url = lambda p, d="": f"<url><loc>{p}</loc>{d}</url>"
+    dated = "<lastmod>2024-01-02</lastmod>"
+    rows = [
+        ("a", "https://a/sitemap.xml", url("old", dated)), ("a", "https://a/sitemaps/news.xml", url("late", dated)), ("a", "https://a/sitemap-news.xml", url("n1", dated) + "<url></url>" + url("n2")), ("a", "https://a/news-sitemap.xml", "<urlset/>"),
+        ("b", "https://b/sitemap.xml", ""), ("b", "https://b/sitemap_index.xml", "<sitemapindex>" + "".join(f"<sitemap><loc>https://b/{k}.xml</loc></sitemap>" for k in range(4)) + "</sitemapindex>"), *[("b", f"https://b/{k}.xml", url(f"c{k}", dated) + url(f"d{k}")) for k in range(4)],
+        ("c", "https://c/other.xml", url("x")), ("d", "https://d/sitemap.xml", None),
+    ]
+    made = sitemaps.news_first(spark.createDataFrame(rows, "host string, sitemap_url string, xml string"), most=7)
+    got = [(r.host, r.pos, r.loc, r.lastmod) for r in made.orderBy("host", "pos").collect()]
+    below = [x for k in range(4) for x in (f"c{k}", f"d{k}")][:7]
+    assert got == [("a", 1, "n1", "2024-01-02"), ("a", 2, "n2", None), *[("b", i + 1, x, None) for i, x in enumerate(below)]]
