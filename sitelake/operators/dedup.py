@@ -50,37 +50,49 @@ def locale_stats(deduped: DataFrame) -> DataFrame:
     )
 
 
-def similar_links(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """a, b (a < b), similarity of different fingerprints, each named by its least id; and id, rep: whose fingerprint a row has.
+def similar_prefixes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rep, words of different fingerprints, each named by its least id; word, rep, n of their rarest words; and id, rep.
 
     Words of a fingerprint are put in order of how rare they are. Two sets of similarity t share a word among
-    their |x| - ceil(t |x|) + 1 rarest, so only these are joined, under a bound on sizes; none is missed. Rows of equal
-    fingerprints are never paired.
+    their |x| - ceil(t |x|) + 1 rarest, so only these are joined, under a bound on sizes; none is missed. The last
+    table says whose fingerprint a row has; rows of equal fingerprints are never paired.
     """
     prints = docs.select(docs[id_col].cast("long").alias("id"), T.fingerprint(F.coalesce(docs[text_col], F.lit(""))).alias("fp"))
     prints = materialize(prints, "similar_prints")
     reps = prints.groupBy("fp").agg(F.min("id").alias("rep")).withColumn("words", T.long_words(F.col("fp"))).filter(F.size("words") > 0)
-    reps = materialize(reps, "similar_reps")
+    reps = materialize(reps.select("rep", "words"), "similar_reps")
     words = reps.select("rep", F.size("words").alias("n"), F.explode("words").alias("word"))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     ordered = words.join(counts, "word").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("by_df"))
     most = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
-    prefix = materialize(ordered.select("rep", "n", F.explode(F.slice("by_df", F.lit(1), most)).alias("w")).select("rep", "n", F.col("w.word").alias("word")), "similar_prefix")
+    prefix = materialize(ordered.select("rep", "n", F.explode(F.slice("by_df", F.lit(1), most)).alias("w")).select(F.col("w.word").alias("word"), "rep", "n"), "similar_prefix")
+    firsts = prints.groupBy("fp", F.xxhash64("fp").alias("h")).agg(F.min("id").alias("rep")).drop("h")
+    return reps, prefix, prints.join(firsts, "fp").select("id", "rep").distinct()
+
+
+def _sizes_fit(threshold: float) -> Column:
+    return F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9
+
+
+def _candidates(prefix: DataFrame, threshold: float) -> DataFrame:
+    """ra, rb (ra < rb) that share a word of their prefixes."""
     x = prefix.select("word", F.col("rep").alias("ra"), F.col("n").alias("na"))
     y = prefix.select("word", F.col("rep").alias("rb"), F.col("n").alias("nb"))
-    near = x.join(y, "word").filter((F.col("ra") < F.col("rb")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)).select("ra", "rb").distinct()
+    return x.join(y, "word").filter((F.col("ra") < F.col("rb")) & _sizes_fit(threshold)).select("ra", "rb").distinct()
+
+
+def _verified(near: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """a, b, similarity of those of near (ra, rb) that are similar."""
     wa, wb = reps.select(F.col("rep").alias("ra"), F.col("words").alias("wa")), reps.select(F.col("rep").alias("rb"), F.col("words").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
-    links = near.join(wa, "ra").join(wb, "rb").withColumn("similarity", both / (F.size("wa") + F.size("wb") - both)).filter(F.col("similarity") >= threshold).select("ra", "rb", "similarity")
-    firsts = prints.groupBy("fp", F.xxhash64("fp").alias("h")).agg(F.min("id").alias("rep")).drop("h")
-    members = prints.join(firsts, "fp").select("id", "rep").distinct()
-    return links.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "similarity"), members
+    links = near.join(wa, "ra").join(wb, "rb").withColumn("similarity", both / (F.size("wa") + F.size("wb") - both)).filter(F.col("similarity") >= threshold)
+    return links.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "similarity")
 
 
 def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """a, b (a < b), similarity: pairs of the first rows of different fingerprints, and the first row of each with its copies (1.0)."""
-    links, members = similar_links(docs, threshold, id_col, text_col)
-    return links.union(members.filter("id <> rep").select("rep", "id", F.lit(1.0)))
+    reps, prefix, members = similar_prefixes(docs, threshold, id_col, text_col)
+    return _verified(_candidates(prefix, threshold), reps, threshold).union(members.filter("id <> rep").select("rep", "id", F.lit(1.0)))
 
 
 def _greedy(links: list) -> list[tuple[int, bool]]:
@@ -97,15 +109,33 @@ def _greedy(links: list) -> list[tuple[int, bool]]:
 def similar_leaders(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", local: int = LOCAL) -> DataFrame:
     """id, keep, leader, reason: one by one in order of id, a row is kept unless a kept one before it is similar.
 
-    In rounds: a row all of whose earlier neighbours are dropped is kept, and one with a kept earlier neighbour is
-    dropped. Each round decides at least the least undecided row of every component, so the rounds end, with every row
-    decided. Once the undecided rows have at most ``local`` earlier neighbours together, the driver decides them
-    in one go, as a long chain of drifting versions takes a round a row.
+    First by stars: a row that is the least undecided one of all words of its prefix is kept, and what is similar to it
+    is dropped. A word has one such row at most, so a round compares no more pairs than there are words of prefixes, and a
+    large group of near copies goes at once. Rounds go on while each of them decides a quarter of what is left.
+
+    What is left is paired, and decided in rounds: a row all of whose earlier neighbours are dropped is kept, and one with a
+    kept earlier neighbour is dropped. Each round decides at least the least undecided row of every component, so the rounds end,
+    with every row decided. Once the undecided rows have at most ``local`` earlier neighbours together, the driver decides
+    them in one go, as a long chain of drifting versions takes a round a row.
     """
     spark = docs.sparkSession
-    links, members = similar_links(docs, threshold, id_col, text_col)
-    pairs, members = materialize(links, "leader_pairs"), materialize(members, "leader_members")
-    ids = members.select(F.col("rep").alias("id")).distinct()  # a copy goes where the first row of its fingerprint goes
+    reps, prefix, members = similar_prefixes(docs, threshold, id_col, text_col)
+    members = materialize(members, "leader_members")
+    left, n = prefix, reps.count()
+    dropped, ready = spark.createDataFrame([], "a long, b long, similarity double"), spark.createDataFrame([], "rep long")
+    while n:
+        least = left.groupBy("word").agg(F.min(F.struct("rep", "n")).alias("m")).select("word", F.col("m.rep").alias("ra"), F.col("m.n").alias("na"))
+        stars = materialize(left.join(least, "word").select("ra", "na", F.col("rep").alias("rb"), F.col("n").alias("nb")), "leader_stars")
+        now = materialize(stars.groupBy(F.col("rb").alias("rep")).agg(F.bool_and(F.col("ra") == F.col("rb")).alias("least")).filter("least").select("rep"), "leader_ready")
+        near = stars.filter((F.col("ra") < F.col("rb")) & _sizes_fit(threshold)).select("ra", "rb").distinct().join(now.withColumnRenamed("rep", "ra"), "ra", "left_semi")
+        gone = materialize(_verified(near, reps, threshold).groupBy("b").agg(F.min_by(F.struct("a", "similarity"), "a").alias("m")).select("m.a", "b", "m.similarity"), "leader_gone")
+        ready, dropped = ready.union(now), dropped.union(gone)
+        left = materialize(left.join(now, "rep", "left_anti").join(gone.select(F.col("b").alias("rep")), "rep", "left_anti"), "leader_left")
+        before, n = n, left.select("rep").distinct().count()
+        if n > 0.75 * before:
+            break
+    ids = left.select(F.col("rep").alias("id")).distinct()
+    pairs = materialize(_verified(_candidates(left, threshold), reps, threshold), "leader_pairs")
     state = materialize(ids.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi").withColumn("keep", F.lit(None).cast("boolean")), "leader_state")
     while not state.filter("keep is null").isEmpty():
         known = state.select(F.col("id").alias("a"), F.col("keep").alias("ka"), F.lit(True).alias("listed"))
@@ -120,11 +150,19 @@ def similar_leaders(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
             decided = news.select(F.col("b").alias("id"), F.when(F.coalesce("hit", F.lit(False)), False).when(F.col("wait") == 0, True).alias("now"))
         state = materialize(state.join(decided, "id", "left").select("id", F.coalesce("keep", "now").alias("keep")), "leader_state")
     # rows that aren't in state have no earlier neighbour
-    kept = ids.join(state.withColumnRenamed("keep", "k"), "id", "left").select("id", F.coalesce("k", F.lit(True)).alias("keep"))
-    kept = materialize(kept, "leader_kept")
-    first = pairs.join(kept.filter("keep").select(F.col("id").alias("a")), "a").groupBy("b").agg(F.min_by(F.struct("a", "similarity"), "a").alias("m"))
-    named = kept.join(first, kept["id"] == first["b"], "left")
+    late = ids.join(state.withColumnRenamed("keep", "k"), "id", "left").select("id", F.coalesce("k", F.lit(True)).alias("keep"))
+    late = materialize(late, "leader_late")
+    first = pairs.join(late.filter("keep").select(F.col("id").alias("a")), "a")
+    # a star may have dropped a row before a lesser leader of it was decided
+    leaders = materialize(ready.union(late.filter("keep").select("id")), "leader_leaders")
+    x = prefix.join(leaders, "rep", "left_semi").select("word", F.col("rep").alias("ra"), F.col("n").alias("na"))
+    y = prefix.join(dropped.select(F.col("b").alias("rep"), F.col("a").alias("so_far")), "rep").select("word", F.col("rep").alias("rb"), F.col("n").alias("nb"), "so_far")
+    lesser = x.join(y, (x["word"] == y["word"]) & (F.col("ra") < F.col("so_far")) & _sizes_fit(threshold)).select("ra", "rb").distinct()
+    every = first.select("a", "b", "similarity").union(dropped).union(_verified(lesser, reps, threshold))
+    named = every.groupBy(F.col("b").alias("of")).agg(F.min_by(F.struct("a", "similarity"), "a").alias("m"))
+    # late rows that are kept have no kept neighbour before them, so what is named is dropped
     percent = F.concat(F.lit("similar:"), F.format_string("%.0f", F.col("m.similarity") * 100), F.lit("%"))
-    judged = named.select(F.col("id").alias("of"), F.col("keep").alias("k"), F.when(F.col("keep"), F.col("id")).otherwise(F.col("m.a")).alias("leader"), F.when(~F.col("keep"), percent).alias("why"))
-    keep = F.col("k") & (F.col("id") == F.col("of"))
-    return members.join(judged, F.col("rep") == F.col("of")).select("id", keep.alias("keep"), "leader", F.when(~keep, F.coalesce("why", F.lit("similar:100%"))).alias("reason"))
+    judged = named.select("of", F.col("m.a").alias("leader"), percent.alias("why"))
+    joined = members.join(judged, F.col("rep") == F.col("of"), "left")
+    keep = F.col("of").isNull() & (F.col("id") == F.col("rep"))  # a copy goes where the first row of its fingerprint goes
+    return joined.select("id", keep.alias("keep"), F.coalesce("leader", "rep").alias("leader"), F.when(~keep, F.coalesce("why", F.lit("similar:100%"))).alias("reason"))

@@ -1,6 +1,7 @@
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from sitelake.functions import dom, markdown
@@ -50,6 +51,29 @@ def test_leaders_are_the_greedy_ones(spark, sf_dir):
     assert got == {d: (leader[d] == d, leader[d]) for d in leader}
 
 
+@pytest.mark.parametrize("local", [0, 1 << 16])
+def test_leaders_of_drifting_groups(spark, local):
+    """Many near copies, a word that all share, and rows whose least leader is decided after another one dropped them."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    bases = [rng.sample(words, 12) for _ in range(4)]
+    texts = [" ".join(["common", *rng.sample(base, rng.randint(10, 12)), *rng.sample(words, rng.randint(0, 2))]) for base in rng.choices(bases, k=160)]
+    rows = list(enumerate(texts))
+    sets = {i: set(t.split()) for i, t in rows}
+    want, kept = {}, []
+    for i, t in rows:
+        same = next((j for j in range(i) if sets[j] == sets[i]), None)
+        near = [k for k in kept if len(sets[k] & sets[i]) >= 0.85 * len(sets[k] | sets[i])]
+        want[i] = (not near, min(near, default=i))
+        if same is not None:
+            want[i] = (False, want[same][1])
+        elif not near:
+            kept.append(i)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id: (r.keep, r.leader) for r in dedup.similar_leaders(df, local=local).collect()} == want
+    assert 10 < len(kept) < 150
+
+
 def test_leaders_of_a_long_chain(spark):
     # each version is similar to the one before and after it only, so every other one is dropped
     chain = lambda n: spark.createDataFrame([(i, " ".join(f"w{k:04d}" for k in range(2 * i, 2 * i + 40))) for i in range(n)], "doc_id long, text string")
