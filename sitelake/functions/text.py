@@ -12,6 +12,7 @@ from sitelake.functions import fixed
 from sitelake.functions.urls import js_trim
 
 WS = f"[{fixed.WHITE_SPACE}]"
+OTHER_SPACE = fixed.WHITE_SPACE.replace(" ", "")  # but for the space
 
 
 def word_count(x: Column) -> Column:
@@ -32,7 +33,9 @@ def truncate_marked(x: Column, most: int = 500_000) -> Column:
 
 
 def fingerprint(x: Column) -> Column:
-    plain = js_trim(F.regexp_replace(F.regexp_replace(F.lower(x), f"{WS}+", " "), f"[^A-Za-z0-9_{fixed.WHITE_SPACE}]", ""))
+    # a run that is one space stays as it is, so few places are replaced; after that, spaces are the only white space
+    spaced = F.regexp_replace(F.lower(x), f"(?: {WS}|[{OTHER_SPACE}]){WS}*", " ")
+    plain = F.trim(F.regexp_replace(spaced, r"[^\w ]+", ""))
     n = F.length(plain)
     half = F.floor(n / 2).cast("int")
     parts = F.concat_ws("|", F.left(plain, F.lit(300)), F.substr(plain, half - 149, F.lit(300)), F.right(plain, F.lit(300)))

@@ -52,7 +52,7 @@ CASES = {
             "nonsense": ("-", "-", "-", "nonsense"),
         },
     ),
-    "fingerprint": (T.fingerprint, {"Hello,  World!": "hello world", "a - b": "a  b", "Été chaud": "t chaud", "": ""}),
+    "fingerprint": (T.fingerprint, {"Hello,  World!": "hello world", "a - b": "a  b", "\u00a0a \n\tb\u3000c\n": "a b c", " - a_1  -": "a_1", "x" * 4 + "\n": "xxxx", "Été chaud": "t chaud", "": ""}),
     "similarity": (T.similarity, {("alpha beta gamma", "alpha beta delta"): 0.5, ("a", "a"): 1.0, ("the cat", "the dog"): 0.0, ("", "x"): 0.0}),
     "language": (T.infer_language, {"import React from 'react'": "jsx", "const x: number = 1": "typescript", "x => 1": "javascript", '{"a": 1}': "json", "npm install x": "bash", "SELECT 1": "javascript"}),
     "title": (lambda t: T.title_of([t], F.lit("https://x.com/docs/my-page.html"), F.lit("/docs/my-page.html")), {"My Page | Site": "My Page", "e-commerce guide": "e", "- foo": "my page", None: "my page"}),
