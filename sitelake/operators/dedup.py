@@ -162,7 +162,8 @@ def similar_leaders(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     named = every.groupBy(F.col("b").alias("of")).agg(F.min_by(F.struct("a", "similarity"), "a").alias("m"))
     # late rows that are kept have no kept neighbour before them, so what is named is dropped
     percent = F.concat(F.lit("similar:"), F.format_string("%.0f", F.col("m.similarity") * 100), F.lit("%"))
-    judged = named.select("of", F.col("m.a").alias("leader"), percent.alias("why"))
+    # written, so that the join shuffles both sides and can split a large group of copies
+    judged = materialize(named.select("of", F.col("m.a").alias("leader"), percent.alias("why")), "leader_judged")
     joined = members.join(judged, F.col("rep") == F.col("of"), "left")
     keep = F.col("of").isNull() & (F.col("id") == F.col("rep"))  # a copy goes where the first row of its fingerprint goes
     return joined.select("id", keep.alias("keep"), F.coalesce("leader", "rep").alias("leader"), F.when(~keep, F.coalesce("why", F.lit("similar:100%"))).alias("reason"))
