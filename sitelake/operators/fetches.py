@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from sitelake.functions import blocks
 from sitelake.functions import urls as U
@@ -18,14 +19,19 @@ def judged(fetches: DataFrame) -> DataFrame:
 def pick(fetches: DataFrame, force_engine: str | None = None) -> DataFrame:
     """The first engine in order of priority that was not blocked, per URL; hosts that need a browser skip plain fetches.
 
-    With force_engine, that engine's row as it is.
+    Of rows of one URL, priority and engine the least by its columns in their order is taken, so put what tells which was
+    fetched first in front. With force_engine, that engine's row as it is.
     """
     if force_engine is not None:
         return judged(fetches.filter(F.col("engine") == force_engine))
     usable = judged(fetches.filter(~((F.col("engine") == "fetch") & U.needs_browser(F.col("url"))))).filter(~F.col("blocked"))
-    whole = F.struct(*[F.col(c) for c in usable.columns])
-    best = usable.groupBy("url").agg(F.min_by(whole, F.struct("priority", "engine")).alias("w"))
-    return best.select("w.*")
+    names = ["priority", "engine", *[c for c in usable.columns if c not in ("priority", "engine")]]
+    tied = [c for c in names if isinstance(usable.schema[c].dataType, AtomicType)]
+    whole = F.struct(*names)
+    # where all can be ordered, each row is carried once
+    first = F.min(whole) if tied == names else F.min_by(whole, F.struct(*tied))
+    best = usable.groupBy("url").agg(first.alias("w"))
+    return best.select(*[F.col("w")[c].alias(c) for c in usable.columns])
 
 
 def engine_stats(fetches: DataFrame) -> DataFrame:

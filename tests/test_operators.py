@@ -111,6 +111,14 @@ def test_waterfall(spark):
     assert fetches.pick(df, force_engine="browser").count() == 2
 
 
+def test_waterfall_takes_the_first_fetch_of_a_repeated_url(spark):
+    rows = [(i, f"https://a.com/{i % 40}", "fetch", 0, 200 + i, "fine", None) for i in range(120)]
+    for seed in range(3):
+        mixed = random.Random(seed).sample(rows, len(rows))
+        df = spark.createDataFrame(mixed, "page_id long, url string, engine string, priority int, status_code int, html string, final_url string").repartition(5)
+        assert sorted(r.page_id for r in fetches.pick(df).collect()) == list(range(40))
+
+
 HTML = """<html><head><title>My Page | Site</title><meta name="author" content=" Ann "><meta property="article:published_time" content="2024-03-07"></head>
 <body><nav><a href="/nav">n</a></nav><article><h1>My Page</h1><p>%s <a href="/x.pdf">pdf</a> <a href="y">why</a> <a href="y">again</a></p>
 <pre data-lang="sql"><span class="line">SELECT 1</span><span class="line">FROM t</span></pre><p>see <code>a</code> and <code>b</code></p><script>var t = "</p>";</script></article><footer>foot</footer></body></html>""" % ("many words of an article that goes on and on " * 6)
