@@ -203,6 +203,15 @@ def test_the_crawl_query_reaches_its_max_pages(spark, tmp_path):
     assert {r.depth for r in rows} == {0, 1, 2, 3}
 
 
+def test_the_crawl_query_keeps_its_pages_spread(spark, sf_dir, monkeypatch):
+    given = []
+    monkeypatch.setattr(frontier, "crawl", lambda site, *a: given.append(site) or site.withColumns({c: F.lit(1) for c in ("seq", "depth", "title", "word_count")}))
+    queries.crawl(spark, sf_dir)
+    assert "Window" not in given[0]._jdf.queryExecution().optimizedPlan().toString()
+    n = spark.read.parquet(f"{sf_dir}/pages.parquet").count()
+    assert given[0].filter(F.contains("html", F.lit(f'"/p{n - 1}"'))).count() > 0 and given[0].filter(F.contains("html", F.lit(f'"/p{n}"'))).count() == 0
+
+
 def test_pages_of_any_shape_are_extracted(spark):
     deep, wide = 10_000, 100_000
     shapes = {
