@@ -82,6 +82,18 @@ def test_leaders_of_a_long_chain(spark):
     assert {r.id: (r.keep, r.leader) for r in dedup.similar_leaders(chain(8), local=0).collect()} == want(8)
 
 
+def test_a_shared_rare_word_alone_makes_no_candidate(spark):
+    rng = random.Random(5)
+    pool = [f"word{i:03d}" for i in range(60)]
+    sets = [rng.sample(pool, 12) for _ in range(300)]
+    sets += [[*x[:-1], "other"] for x in sets[:40]] + [x + ["another"] for x in sets[40:80]]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(sets)], "doc_id long, text string")
+    _, prefix, _ = dedup.similar_prefixes(df, 0.85, "doc_id", "text")
+    found = {(r.ra, r.rb) for r in dedup._candidates(prefix, 0.85).collect()}
+    near = {(a, b) for b in range(len(sets)) for a in range(b) if len(set(sets[a]) & set(sets[b])) >= 0.85 * len(set(sets[a]) | set(sets[b]))}
+    assert len(near) >= 40 and near <= found and len(found) < len(near) + 100
+
+
 def test_robots(spark):
     text = "User-agent: *\nDisallow: /private\nAllow: /private/public\nDisallow: /*.pdf$\nDisallow: /same\nAllow: /same\nUser-agent: foo\nDisallow: /"
     table = spark.createDataFrame([("x.com", text), ("y.com", "User-agent: *\nUser-agent: foo\nDisallow: /"), ("z.com", "User-agent: *\nDisallow: /x # note\nCrawl-delay: 1.5s")], "host string, text string")
