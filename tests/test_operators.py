@@ -94,6 +94,13 @@ def test_a_shared_rare_word_alone_makes_no_candidate(spark):
     assert len(near) >= 40 and near <= found and len(found) < len(near) + 100
 
 
+def test_similar_pairs_need_few_counts(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = {(r.a, r.b, r.similarity) for r in dedup.similar_pairs(docs).collect()}
+    monkeypatch.setattr(dedup, "FREQUENT", 5)
+    assert want and {(r.a, r.b, r.similarity) for r in dedup.similar_pairs(docs).collect()} == want
+
+
 def test_robots(spark):
     text = "User-agent: *\nDisallow: /private\nAllow: /private/public\nDisallow: /*.pdf$\nDisallow: /same\nAllow: /same\nUser-agent: foo\nDisallow: /"
     table = spark.createDataFrame([("x.com", text), ("y.com", "User-agent: *\nUser-agent: foo\nDisallow: /"), ("z.com", "User-agent: *\nDisallow: /x # note\nCrawl-delay: 1.5s")], "host string, text string")
